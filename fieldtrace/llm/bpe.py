@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_VOCAB = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -293,7 +294,7 @@ def encode_corpus(
     other.  Repeated rows stay as they are, other columns are not read, and a
     NULL id is kept.  The vocabulary file must be readable by the executors.
     """
-    schema = docs.select(F.col(id_col)).schema.add("ids", "array<int>")
+    schema = docs.select(F.col(id_col)).schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches):
         enc = encoder(vocab_file)
@@ -311,7 +312,7 @@ def count_tokens(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocab_file: str = DEFAULT_VOCAB, most_bytes: int = 4_000_000
 ) -> DataFrame:
     """Rows (id_col, n_tokens BIGINT): the length of encode_corpus's list, which itself is not sent."""
-    schema = docs.select(F.col(id_col)).schema.add("n_tokens", "bigint")
+    schema = docs.select(F.col(id_col)).schema.add("n_tokens", T.LongType())
 
     def run(batches):
         enc = encoder(vocab_file)

@@ -22,8 +22,9 @@ def choose_buckets(sizes: list[int], counts: list[int], capacity: int, buckets:
     """Upper bounds of at most ``buckets`` size buckets that minimise the padding.
 
     An item in a bucket of bound b takes capacity // (capacity // b) tokens of a
-    full container; what it doesn't use is padding.  The last bound is the
-    largest size.  No sizes give no bounds.
+    full container; what it doesn't use is padding, and so is half a container
+    for the last one of each bucket.  The last bound is the largest size.  No
+    sizes give no bounds.
     """
     if not sizes:
         return []
@@ -39,7 +40,7 @@ def choose_buckets(sizes: list[int], counts: list[int], capacity: int, buckets:
     for _ in range(min(buckets, n)):
         now, at = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=int)
         for b in range(1, n + 1):
-            cost = best[:b] + (many[b] - many[:b]) * room[b - 1] - (tokens[b] - tokens[:b])
+            cost = best[:b] + capacity / 2 + (many[b] - many[:b]) * room[b - 1] - (tokens[b] - tokens[:b])
             at[b] = int(np.argmin(cost))
             now[b] = cost[at[b]]
         choice.append(at)
