@@ -7,6 +7,6 @@ from types import ModuleType
 
 def registered() -> list[ModuleType]:
     """The modules with queries() and oracle_sql()."""
-    from . import cleaning
+    from . import cleaning, sequences, signals
 
-    return [cleaning]
+    return [cleaning, sequences, signals]
