@@ -119,7 +119,7 @@ def regular_grid(
     slot: F.Column | str,
     value_cols: dict[str, str],
     longest: int = 2999,
-    chunk: int = 30_000,
+    chunk: int = 30_720,
     block: int = 1024,
     context: int = 64,
     limit: float = 16.0,
@@ -133,8 +133,11 @@ def regular_grid(
     longer ones part recordings and give no rows.  Values beyond +-``limit`` are
     impossible: they stand as they are, but filling takes them as the limit.  Readings with a NULL key or
     slot take no part; each id counts once; other columns are ignored; an
-    entity without values and an empty table give no rows.
+    entity without values and an empty table give no rows.  chunk is a multiple
+    of block, so blocks, and with them the filled values, don't depend on it.
     """
+    if chunk % block:
+        raise ValueError("chunk must be a multiple of block")
     halo = longest + context + 2
     names, cols = list(value_cols), list(value_cols.values())
     at = F.expr(slot) if isinstance(slot, str) else slot
