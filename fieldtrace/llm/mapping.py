@@ -25,7 +25,7 @@ BEHIND = "again|briefly|near gate|for most of clip|long bout|good view|left side
 
 # Forms that no rule below makes from a name or a description.
 ALIASES = {
-    "browsing leaves": "leaf browsing",
+    "browsing leaves": "leaf browsing, stripping foliage",
     "galloping": "at full speed, full speed",
     "walking": "slow gait, four-beat gait",
     "trotting": "two-beat gait",
@@ -75,6 +75,7 @@ def _forms(word: Column) -> Column:
     """Inflections of one word: every form that the rules of English spelling could make of its stem."""
     stem = F.when(word.rlike("ing$"), F.expr("substr(w, 1, length(w) - 3)")).when(word.rlike("ed$"), F.expr("substr(w, 1, length(w) - 2)")).otherwise(word)
     bases = F.array(stem, F.concat(stem, F.lit("e")), F.regexp_replace(stem, r"(.)\1$", "$1"))
+    last = lambda b: F.when(F.substring(b, -1, 1).rlike("[bdfglmnprtz]"), F.substring(b, -1, 1)).otherwise("")
     made = F.transform(
         bases,
         lambda b: F.array(
@@ -84,8 +85,8 @@ def _forms(word: Column) -> Column:
             F.concat(b, F.lit("ed")),
             F.concat(F.regexp_replace(b, "e$", ""), F.lit("ing")),
             F.concat(F.regexp_replace(b, "e$", ""), F.lit("ed")),
-            F.concat(b, F.substring(b, -1, 1), F.lit("ing")),
-            F.concat(b, F.substring(b, -1, 1), F.lit("ed")),
+            F.concat(b, last(b), F.lit("ing")),
+            F.concat(b, last(b), F.lit("ed")),
         ),
     )
     return F.array_distinct(F.flatten(made))
@@ -112,7 +113,9 @@ def references(canonical: DataFrame, *, aliases: dict[str, str] | None = None) -
     origin = F.least(F.col("kind"), F.lit(1)).alias("origin")
     single = phrases.select("behaviour_id", F.col("phrase").alias("ref"), origin)
     words = phrases.where("kind < 2").withColumn("words", F.split("phrase", r"[^\p{L}]+")).where(F.size("words") <= 3)
-    at = words.select("behaviour_id", origin, "words", F.posexplode("words").alias("at", "w")).select("behaviour_id", "origin", "words", "at", F.explode(_forms(F.col("w"))).alias("form"))
+    at = words.select("behaviour_id", origin, "words", F.posexplode("words").alias("at", "w"))
+    # In a name the verb is a participle or stands last; elsewhere it can be any word.
+    at = at.where((F.col("origin") == 1) | F.col("w").rlike("(ing|ed)$") | (F.col("at") == F.size("words") - 1)).select("behaviour_id", "origin", "words", "at", F.explode(_forms(F.col("w"))).alias("form"))
     inflected = at.select("behaviour_id", "origin", F.transform("words", lambda x, i: F.when(i == F.col("at"), F.col("form")).otherwise(x)).alias("words"), F.col("at"))
     turned = inflected.select("behaviour_id", "origin", F.concat(F.slice("words", F.col("at") + 1, 1), F.expr("filter(words, (x, i) -> i <> at)")).alias("words"))
     moved = inflected.select("behaviour_id", "origin", F.concat(F.expr("filter(words, (x, i) -> i <> at)"), F.slice("words", F.col("at") + 1, 1)).alias("words"))
@@ -164,12 +167,30 @@ def pigeonhole_pairs(typed: DataFrame, refs: DataFrame, *, most: int = 3) -> Dat
     return found.withColumn("d", F.levenshtein("typed", "ref")).where("d <= k").select("typed", "ref", "behaviour_id", "origin", "d")
 
 
+def transposed_pairs(typed: DataFrame, refs: DataFrame, *, shortest: int = 6, most: int = 5) -> DataFrame:
+    """Like pigeonhole_pairs, for strings whose letters mainly changed places.
+
+    The same join on the letters in alphabetical order, where a change of places
+    is no edit and one edit is left for the rest; the strings themselves may
+    then be ``most`` edits apart.  Only forms made from names, of ``shortest`` letters
+    or more.
+    """
+    ordered = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
+    a = typed.select(F.col("typed").alias("as_typed"), ordered(F.col("typed")).alias("typed"))
+    b = refs.where((F.col("origin") == 0) & (F.col("n") >= shortest)).select("behaviour_id", F.col("ref").alias("as_ref"), ordered(F.col("ref")).alias("ref"), "origin", F.lit(1).alias("k"), "n")
+    near = pigeonhole_pairs(a.select("typed").distinct(), b.select("behaviour_id", "ref", "origin", "k", "n").distinct()).drop("d", "origin")
+    back = near.join(a, "typed").join(b, ["behaviour_id", "ref"])
+    d = F.levenshtein("as_typed", "as_ref")
+    return back.select(F.col("as_typed").alias("typed"), F.col("as_ref").alias("ref"), "behaviour_id", "origin", d.alias("d")).where(F.col("d") <= most)
+
+
 def _ways(part: Column) -> Column:
     """The letters of a phrase with and without the remarks before and behind it."""
     clean = F.trim(F.regexp_replace(part, r"[^\p{L}\p{N}]+", " "))
+    once = F.regexp_replace(clean, rf"^(?:{BEFORE}) (?=\S)", "")
     headless = F.regexp_replace(clean, rf"^(?:(?:{BEFORE}) )+(?=\S)", "")
-    tailless = [F.regexp_replace(c, rf"(?<=\S)(?: (?:{BEHIND}))+$", "") for c in (clean, headless)]
-    return F.array_distinct(F.array(*(_letters(c) for c in (clean, headless, *tailless))))
+    tailless = [F.regexp_replace(c, rf"(?<=\S)(?: (?:{BEHIND}))+$", "") for c in (clean, once, headless)]
+    return F.array_distinct(F.array(*(_letters(c) for c in (clean, once, headless, *tailless))))
 
 
 def map_values(
@@ -177,9 +198,10 @@ def map_values(
 ) -> DataFrame:
     """Rows (id_col, behaviour_id), distinct: what each non-blank value means, -1 if nothing on the list.
 
-    A value is taken as a whole first; if no reference string is near, its parts
-    are looked up one by one, and parts that mean nothing (remarks) are left
-    out.  The nearest reference string wins; on a tie one made from a name, then
+    A value is taken as a whole if a reference string is at most one edit away;
+    else its parts are looked up one by one, and parts that mean nothing
+    (remarks) are left out; if none means anything, the whole is taken with all
+    edits allowed.  The nearest reference string wins; on a tie one made from a name, then
     the smaller behaviour_id.
     NULL and blank values give no row; a repeated id with the same value counts
     once; other columns are ignored.
@@ -191,10 +213,13 @@ def map_values(
         values.select("value", F.lit(1), F.posexplode(F.split("low", PARTING)))
     )
     parts = parts.select("value", "level", "no", F.explode(_ways(F.col("part"))).alias("typed")).where("typed <> ''")
-    pairs = pigeonhole_pairs(parts.select("typed").distinct(), refs)
+    typed = parts.select("typed").distinct()
+    pairs = cut_lineage(pigeonhole_pairs(typed, refs))
+    pairs = pairs.union(transposed_pairs(typed.join(pairs.select("typed").distinct(), "typed", "left_anti"), refs))
     nearest = pairs.groupBy("typed").agg(F.min(F.struct("d", "origin", "behaviour_id")).alias("best"))
     meant = parts.join(nearest, "typed").groupBy("value", "level", "no").agg(F.min("best").alias("best"))
-    meant = meant.select("value", "level", "best.behaviour_id")
+    # A value as a whole comes first if it is as good as written, and last if it isn't.
+    meant = meant.select("value", F.when(F.col("level") == 1, 1).when(F.col("best.d") <= 1, 0).otherwise(2).alias("level"), "best.behaviour_id")
     first = meant.groupBy("value").agg(F.min("level").alias("level"))
     meant = meant.join(first, ["value", "level"]).select("value", "behaviour_id").distinct()
     none = values.select("value").join(meant.select("value").distinct(), "value", "left_anti").select("value", F.lit(-1).alias("behaviour_id"))
