@@ -2,10 +2,11 @@
 
 The histogram of item sizes (at most one row for each size up to the capacity)
 goes to the driver, where dynamic programming chooses the bucket boundaries that
-waste the fewest tokens.  Inside a bucket items are put into token-budget batches:
-a container is closed when the next item would not fit.  Buckets are split by
-hash into groups of a bounded number of items, so a bucket that holds a third of
-the corpus is filled by many tasks, at the price of one part-filled container a group.
+waste the fewest tokens.  Items are then split by hash into groups of a bounded
+number.  In a group the buckets are taken from the largest sizes to the
+smallest: a bucket's items first use the room that larger ones left, then form
+token-budget batches, each closed when the next item would not fit.  A size that
+a third of the corpus has is thus spread over all groups.
 """
 
 from __future__ import annotations
@@ -58,20 +59,35 @@ def choose_buckets(sizes: list[int], counts: list[int], capacity: int, buckets:
 
 
 def _fill(capacity: int):
-    """Fills containers one after the other with a group's items, largest first."""
+    """Fills containers with a group's items, bucket by bucket from the largest sizes."""
 
     def run(group: pa.Table) -> pa.Table:
-        size = group.column("size").to_numpy()
-        ends = np.cumsum(size)
-        order = np.arange(len(size))
+        size, bucket = group.column("size").to_numpy(), group.column("bucket").to_numpy()
         no = np.zeros(len(size), dtype=np.int64)
-        start, k = 0, 0
-        while start < len(size):
-            base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + capacity, side="right")))
-            no[order[start:stop]] = k
-            start, k = stop, k + 1
-        return group.append_column("no", pa.array(no)).select(["id", "part", "size", "bucket", "grp", "no"])
+        room = np.zeros(0, dtype=np.int64)
+        for b in np.unique(bucket)[::-1]:
+            items = np.flatnonzero(bucket == b)
+            items = items[np.argsort(-size[items], kind="stable")]
+            ends = np.cumsum(size[items])
+            at = 0
+            for c in np.flatnonzero(room >= size[items[-1]]):
+                base = ends[at - 1] if at else 0
+                stop = int(np.searchsorted(ends, base + room[c], side="right"))
+                if stop > at:
+                    no[items[at:stop]] = c
+                    room[c] -= ends[stop - 1] - base
+                    at = stop
+                    if at == len(items):
+                        break
+            opened = []
+            while at < len(items):
+                base = ends[at - 1] if at else 0
+                stop = int(np.searchsorted(ends, base + capacity, side="right"))
+                no[items[at:stop]] = len(room) + len(opened)
+                opened.append(capacity - (ends[stop - 1] - base))
+                at = stop
+            room = np.concatenate([room, np.array(opened, dtype=np.int64)])
+        return group.append_column("no", pa.array(no)).select(["id", "part", "size", "grp", "no"])
 
     return run
 
@@ -98,12 +114,12 @@ def pack_items(
     none = items.where("size <= 0").select("id", F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("size"), F.lit(None).cast("string").alias("container"))
     packed = full
     if bounds:
-        held = [sum(n for s, n in histogram.items() if low < s <= high) for low, high in zip([0, *bounds[:-1]], bounds, strict=True)]
-        bucket, groups = F.lit(len(bounds) - 1), F.lit(1)
+        groups = -(-sum(histogram.values()) // group_rows)
+        bucket = F.lit(len(bounds) - 1)
         for k in reversed(range(len(bounds))):
             bucket = F.when(F.col("size") <= bounds[k], k).otherwise(bucket)
-            groups = F.when(F.col("size") <= bounds[k], -(-held[k] // group_rows)).otherwise(groups)
-        rest = parts.where(F.col("size") < capacity).select("id", "part", "size", bucket.alias("bucket"), F.pmod(F.xxhash64("id", "part"), groups).alias("grp"))
-        filled = rest.groupBy("bucket", "grp").applyInArrow(_fill(capacity), "id bigint, part int, size bigint, bucket int, grp bigint, no bigint")
-        packed = packed.union(filled.select("id", "part", "size", F.concat_ws("-", "bucket", "grp", "no").alias("container")))
+        rest = parts.where(F.col("size") < capacity).select("id", "part", "size", bucket.alias("bucket"), F.pmod(F.xxhash64("id", "part"), F.lit(groups)).alias("grp"))
+        kind = items.schema["id"].dataType.simpleString()
+        filled = rest.groupBy("grp").applyInArrow(_fill(capacity), f"id {kind}, part int, size bigint, grp bigint, no bigint")
+        packed = packed.union(filled.select("id", "part", "size", F.concat_ws("-", "grp", "no").alias("container")))
     return packed.union(none).select(F.col("id").alias(id_col), "part", "size", "container")

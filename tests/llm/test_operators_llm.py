@@ -211,7 +211,7 @@ def test_containers(spark):
     assert whole == {k: s or 0 for k, s in enumerate(sizes)}
     assert max(v for k, v in held.items() if k) <= 64
     full = sum(whole.values()) / (64 * sum(1 for k in held if k))
-    assert full > 0.75
+    assert full > 0.9
     assert P.pack_items(df.limit(0), capacity=64).count() == 0
 
 
