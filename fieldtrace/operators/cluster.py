@@ -90,6 +90,25 @@ def stratified(df: DataFrame, *, label: str, id_col: str, per_label: int, repeat
     return cut.withColumn("at", F.row_number().over(second)).where(F.col("at") <= per_label).drop("at", "grp", "draw")
 
 
+def subsample(df: DataFrame, *, id_col: str, n: int, seed: int = 0) -> DataFrame:
+    """n rows without replacement: those of the smallest hashes of id and seed."""
+    return df.withColumn("_draw", F.xxhash64(id_col, F.lit(seed))).orderBy("_draw", id_col).limit(n).drop("_draw")
+
+
+def subsample_inertia(df: DataFrame, cols: list[str], centroids: list[list[float]], *, id_col: str, n: int, seed: int = 0) -> DataFrame:
+    """Inertia of n sampled rows scaled up to all of them. One row."""
+    whole = df.dropna(subset=cols)
+    part = nearest(subsample(whole, id_col=id_col, n=n, seed=seed), cols, centroids).agg(F.sum("d2").alias("s"), F.count("*").alias("n"))
+    return part.crossJoin(whole.agg(F.count("*").alias("n_all"))).select((F.col("s") * F.col("n_all") / F.col("n")).alias("inertia"))
+
+
+def box_points(df: DataFrame, centroids: list[list[float]], *, id_col: str, margin: float = 0.1, seed: int = 0) -> DataFrame:
+    """A point for each row of df, uniform in the box of the centroids widened by margin: id_col, x0, x1, ..."""
+    unit = lambda j: F.pmod(F.xxhash64(id_col, F.lit(seed), F.lit(j)), F.lit(1 << 30)) / float(1 << 30)
+    low, high = [min(v) - margin for v in zip(*centroids, strict=True)], [max(v) + margin for v in zip(*centroids, strict=True)]
+    return df.select(id_col, *[(F.lit(a) + unit(j) * (b - a)).alias(f"x{j}") for j, (a, b) in enumerate(zip(low, high, strict=True))])
+
+
 def silhouettes(sample: DataFrame, cols: list[str], *, label: str, id_col: str, blocks: int = 16) -> DataFrame:
     """Exact Euclidean silhouette of every row of a bounded sample within its repeat; a lone member of a cluster gets 0.
 

@@ -69,6 +69,15 @@ def interpolate(df: DataFrame, *, keys: list[str], order: list[str], col: str, f
     return seq.withColumn(col, filled).drop("_seq", "_s0", "_v0", "_s1", "_v1")
 
 
+def straightness_over_gaps(track: DataFrame, *, keys: list[str], order: list[str], a: str, b: str, dt_seconds: float, distance=planar_m) -> DataFrame:
+    """straightness_and_speed over the known positions, and interpolated at those that are missing."""
+    known = straightness_and_speed(track.dropna(subset=[a, b]), keys=keys, order=order, a=a, b=b, dt_seconds=dt_seconds, distance=distance)
+    back = track.join(known.select(*keys, *order, "straightness", "speed"), [*keys, *order], "left")
+    for col in ("straightness", "speed"):
+        back = interpolate(back, keys=keys, order=order, col=col)
+    return back
+
+
 def null_runs(df: DataFrame, *, keys: list[str], order: list[str], col: str) -> DataFrame:
     """Runs of NULLs of a column: (*keys, start_seq, stop_seq), stop exclusive; a run at the end counts."""
     seq = numbered(df, keys=keys, order=order)

@@ -112,6 +112,31 @@ def t2_best_fits(spark: SparkSession, folder: str) -> DataFrame:
     return J.highest(_fits(spark, folder).select("k", "fit_id", "ch"), ["k"], "ch", ["fit_id"])
 
 
+def t3_most_stable_fits(spark: SparkSession, folder: str) -> DataFrame:
+    """The fit of each k with the smallest sum of matched distances, the first on a tie."""
+    return J.highest(K.instabilities(_fits(spark, folder)).withColumn("stable", -F.col("medoid_sum")), ["k"], "stable", ["fit_id"]).drop("stable")
+
+
+def j9_fits_with_inertia(spark: SparkSession, folder: str) -> DataFrame:
+    """Fits beside their inertia computed anew over all points; the two agree."""
+    fits = _fits(spark, folder)
+    again = K.inertia_of_fits(points(spark, folder), DIMS, fits).withColumnRenamed("inertia", "inertia_again")
+    return fits.select("k", "fit_id", "inertia").join(again, ["k", "fit_id"], "left")
+
+
+def s14_uniform_points(spark: SparkSession, folder: str) -> DataFrame:
+    """Means and extent of the uniform surrogate of the points, dimension by dimension."""
+    noise = K.surrogate(points(spark, folder), 6)
+    cols = [f"x{j}" for j in range(6)]
+    return noise.unpivot("id", cols, "dim", "value").groupBy("dim").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"))
+
+
+def s15_box_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Agreement of the fixed-point and the exact classifier on vectors drawn in the centres' box, one for each reading."""
+    noise = K.box_points(readings(spark, folder), CENTRES, id_col="data_id")
+    return K.round_trip(noise, [f"x{j}" for j in range(6)], CENTRES)
+
+
 def m14_stability_null(spark: SparkSession, folder: str) -> DataFrame:
     return K.stability_null(points(spark, folder), 6, [2, 3], [1, 2], surrogates=[0, 1])
 
@@ -386,5 +411,5 @@ SELECT nullif(name, '') AS name, count(*) AS n, count(*) FILTER (name = columns)
 
 
 def queries() -> dict[str, Query]:
-    extra = (m15_round_trip, m3_sweep, m4_instabilities, m12_inertia_of_fits, a23_per_k, m6_kneedle, m13_selection_summary, t2_best_fits, m14_stability_null, m7_first_order_null, m7b_marginal_null, m10_super_prototypes)
+    extra = (m15_round_trip, m3_sweep, m4_instabilities, m12_inertia_of_fits, a23_per_k, m6_kneedle, m13_selection_summary, t2_best_fits, t3_most_stable_fits, j9_fits_with_inertia, s14_uniform_points, s15_box_vectors, m14_stability_null, m7_first_order_null, m7b_marginal_null, m10_super_prototypes)
     return {k: globals()[k] for k in oracle_sql()} | {f.__name__: f for f in extra}

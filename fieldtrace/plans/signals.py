@@ -146,6 +146,12 @@ def w10_interpolated_forward(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(df.select("data_id", F.col("abs_speed_mPs").alias("speed")).where("speed IS NOT NULL"), 5)
 
 
+def w11_straightness_over_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    track = fixes(spark, folder).select("deer_id", "data_id", "chunk", "pos_NZMG_x_meter", "pos_NZMG_y_meter")
+    df = G.straightness_over_gaps(track, keys=["deer_id"], order=["data_id"], a="pos_NZMG_x_meter", b="pos_NZMG_y_meter", dt_seconds=0.02)
+    return rounded(df.select("data_id", "straightness", "speed"), 4)
+
+
 def w12_null_runs(spark: SparkSession, folder: str) -> DataFrame:
     return G.null_runs(fixes(spark, folder), keys=["deer_id"], order=["data_id"], col="pos_WGS84_lat")
 
@@ -275,6 +281,14 @@ r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs
         "w8_straightness_great_circle": f"{_F}{_STEPS} SELECT data_id, round(coalesce(g, lead(g) OVER ({by_deer} ORDER BY data_id)), 4) AS speed FROM tv",
         "w9_interpolated": f"{_F}{_KNOWN.format(c='x')} SELECT data_id, round(CASE WHEN x IS NOT NULL THEN x WHEN v0 IS NOT NULL AND v1 IS NOT NULL THEN v0 + (v1 - v0) * ((seq - s0) / (s1 - s0)) ELSE coalesce(v0, v1) END, 4) AS x FROM kn",
         "w10_interpolated_forward": f"{_F}{_KNOWN.format(c='sp')}, o AS (SELECT data_id, round(CASE WHEN sp IS NOT NULL THEN sp WHEN v0 IS NOT NULL AND v1 IS NOT NULL THEN v0 + (v1 - v0) * ((seq - s0) / (s1 - s0)) ELSE v0 END, 5) AS speed FROM kn) SELECT * FROM o WHERE speed IS NOT NULL",
+        "w11_straightness_over_gaps": f"""{_F}{_STEPS.replace("FROM ps", "FROM fx WHERE x IS NOT NULL AND y IS NOT NULL")},
+ed AS (SELECT data_id, CASE WHEN d1 IS NULL THEN lead(tt) OVER w WHEN d2 IS NULL THEN lag(tt) OVER w ELSE tt END AS st, coalesce(v, lead(v) OVER w) AS sd FROM tv WINDOW w AS ({by_deer} ORDER BY data_id)),
+al AS (SELECT fx.deer_id, fx.data_id, st, sd, row_number() OVER (PARTITION BY deer_id ORDER BY data_id) AS seq FROM fx LEFT JOIN ed USING (data_id)),
+kn AS (SELECT *, last_value(CASE WHEN st IS NOT NULL THEN seq END IGNORE NULLS) OVER a AS s0, first_value(CASE WHEN st IS NOT NULL THEN seq END IGNORE NULLS) OVER b AS s1,
+  last_value(st IGNORE NULLS) OVER a AS t0, first_value(st IGNORE NULLS) OVER b AS t1, last_value(sd IGNORE NULLS) OVER a AS v0, first_value(sd IGNORE NULLS) OVER b AS v1 FROM al
+  WINDOW a AS (PARTITION BY deer_id ORDER BY data_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY deer_id ORDER BY data_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT data_id, round(CASE WHEN st IS NOT NULL THEN st WHEN s0 IS NOT NULL AND s1 IS NOT NULL THEN t0 + (t1 - t0) * ((seq - s0) / (s1 - s0)) ELSE coalesce(t0, t1) END, 4) AS straightness,
+  round(CASE WHEN sd IS NOT NULL THEN sd WHEN s0 IS NOT NULL AND s1 IS NOT NULL THEN v0 + (v1 - v0) * ((seq - s0) / (s1 - s0)) ELSE coalesce(v0, v1) END, 4) AS speed FROM kn""",
         "w12_null_runs": f"""{_F}, sq AS (SELECT *, row_number() OVER w - 1 AS seq FROM fx WINDOW w AS ({by_deer} ORDER BY data_id)),
 g AS (SELECT deer_id, seq, seq - row_number() OVER ({by_deer} ORDER BY seq) AS grp FROM sq WHERE lat IS NULL) SELECT deer_id, min(seq) AS start_seq, max(seq) + 1 AS stop_seq FROM g GROUP BY deer_id, grp""",
         "w13_inclusive_fill": f"{_F}{_KNOWN.format(c='y')} SELECT data_id, round(coalesce(y, v0 + (v1 - v0) * CASE WHEN s1 - s0 - 1 > 1 THEN (seq - s0 - 1) / (s1 - s0 - 2) ELSE 0 END), 4) AS y FROM kn",

@@ -118,6 +118,15 @@ def test_nearest(spark):
     assert [r.cluster for r in K.nearest(df, ["a", "b"], c).collect()] == [0, 1, 2, 3, 0, None]
 
 
+def test_samples(spark):
+    df = spark.range(1000).select("id", (F.col("id") % 7).cast("double").alias("x"))
+    assert K.subsample(df, id_col="id", n=30).distinct().count() == 30
+    exact = K.inertia(K.nearest(df, ["x"], [[1.0], [5.0]])).first().inertia
+    assert K.subsample_inertia(df, ["x"], [[1.0], [5.0]], id_col="id", n=500).first().inertia == pytest.approx(exact, rel=0.15)
+    box = K.box_points(df, [[0.0, 1.0], [1.0, 1.0]], id_col="id").agg(F.min("x0"), F.max("x0"), F.min("x1"), F.max("x1")).first()
+    assert -0.1 <= box[0] < 0 and 1 < box[1] <= 1.1 and 0.9 <= box[2] and box[3] <= 1.1
+
+
 def test_silhouettes_of_far_blobs(spark):
     rng = np.random.default_rng(0)
     rows = [(k, k % 4, *map(float, rng.normal([10 * (k % 4 // 2), 10 * (k % 2)], 0.3))) for k in range(200)]
