@@ -44,7 +44,7 @@ def p5_reasons(spark: SparkSession, folder: str) -> DataFrame:
     """Faulty readings with the reason of each."""
     shaken = flag_implausible(
         table(spark, folder, "accelerometer_data"), id_col="data_id", key_col="deer_id", order=wall_us("NZ_DateTime"),
-        fields={"X_head": ACCELERATION, "Z_ear": ACCELERATION}, chunk=HOUR_US,
+        fields={"X_head": ACCELERATION, "Z_ear": ACCELERATION}, chunk=4 * HOUR_US,
     )
     moved = flag_implausible(
         table(spark, folder, "trajectory_data"), id_col="data_id", key_col="deer_id", order=F.col("data_id"),
