@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,8 +22,23 @@ def get_session(app: str = "fieldtrace", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once a session's context; they needn't have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_fieldtrace_shipped", False):
+        return
+    package = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-"), f"{package.name}.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._fieldtrace_shipped = True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One table of a folder of parquet files."""
+    """One table of a folder of parquet files; the workers are sent the package on the way."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
