@@ -124,11 +124,11 @@ def differences(stream: DataFrame, order: list[str], col: str) -> DataFrame:
 def merge_short_bouts(runs: DataFrame, cutoff: int, *, mode: str = "longer") -> DataFrame:
     """Bouts shorter than cutoff take the label of the longer neighbour (the previous one on a tie).
 
-    mode "reference" takes bouts of at most cutoff, and the next one where the
+    mode "next" takes bouts of at most cutoff, and the next one where the
     previous is longer.  Neighbours are the bouts as they were; runs that become
     equal are joined.
     """
-    if mode not in ("longer", "reference"):
+    if mode not in ("longer", "next"):
         raise ValueError(f"unknown mode {mode!r}")
     held = {"label": "label", "length": "length"}
     df = previous(runs, keys=ANIMAL, order=["bout"], cols={f"before_{k}": v for k, v in held.items()})

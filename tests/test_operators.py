@@ -50,7 +50,7 @@ def test_merge_modes(spark):
     runs = S.bouts(stream(spark, [0] * 5 + [1] + [2] * 3), ["at"])
     label = lambda df: [(r.label, r.length) for r in df.orderBy("bout").collect()]
     assert label(S.merge_short_bouts(runs, 2)) == [(0, 6), (2, 3)]
-    assert label(S.merge_short_bouts(runs, 1, mode="reference")) == [(0, 5), (2, 4)]
+    assert label(S.merge_short_bouts(runs, 1, mode="next")) == [(0, 5), (2, 4)]
     with pytest.raises(ValueError):
         S.merge_short_bouts(runs, 1, mode="other")
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pytest
 from conftest import DATA, differences
 
-from fieldtrace.plans import registered
+from fieldtrace.plans import analysis, registered
+
+# The sweep is the same for all queries on it; here it runs once.
+analysis._fits = lru_cache(analysis._fits)
 
 QUERIES = {k: f for m in registered() for k, f in m.queries().items()}
 SQL = {k: q for m in registered() for k, q in m.oracle_sql().items()}
