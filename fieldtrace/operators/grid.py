@@ -5,61 +5,216 @@ and a chunk also gets the slots shortly before and after it, so that a stretch
 to be filled and its surroundings lie in one group whichever chunk they begin
 in.  A group is at most ``chunk`` + 2 ``halo`` slots, however many readings an
 entity has.  Within a group the bucketed series is cut into blocks; each block's
-empty slots are filled by iterative singular-spectrum imputation: embed the
-series in a Hankel trajectory matrix, keep the leading singular vectors, average
-the diagonals, replace the empty slots, and repeat until they no longer move.
+empty slots are filled by singular-spectrum imputation: embed the series in a
+Hankel trajectory matrix, keep the leading singular vectors, and move the empty
+slots to where averaging the diagonals and replacing them would end, until they
+no longer move.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def ssa_fill(series: np.ndarray, known: np.ndarray, *, window: int = 12, rank: int = 3, rounds: int = 12, tolerance: float = 1e-3) -> np.ndarray:
-    """Series (n, m) with the unknown entries filled, n series at once.
+def _gram(x: np.ndarray, size: np.ndarray, window: int) -> np.ndarray:
+    """Trajectory matrix times its transpose (n, window, window), from lagged products only; x is 0 behind each size."""
+    cols = size - window + 1
+    near = np.where(np.arange(x.shape[1]) < cols[:, None], x, 0.0)
+    end = np.take_along_axis(x, cols[:, None] + np.arange(window - 1), axis=1)
+    out = np.empty((len(x), window, window))
+    for lag in range(window):
+        more = window - 1 - lag
+        first = np.einsum("ij,ij->i", near[:, : x.shape[1] - lag], x[:, lag:])[:, None]
+        step = end[:, :more] * end[:, lag:] - x[:, :more] * x[:, lag : window - 1]
+        i = np.arange(window - lag)
+        out[:, i, i + lag] = out[:, i + lag, i] = np.concatenate([first, first + np.cumsum(step, axis=1)], axis=1)
+    return out
 
-    Unknown entries start on the line between their known neighbours.  tolerance
-    is the largest change, in standard deviations of the series, that ends the
-    iteration.  Series too short for two windows stay on that line.
+
+class _Missing:
+    """The least-squares problem of the missing entries of n series, for any given singular vectors.
+
+    What the trailing vectors see of the trajectory matrix is a quadratic form of
+    the series with a band of window - 1 on either side; over the missing entries
+    it is block tridiagonal, and is solved by elimination, series side by side.
+    The series come by falling number of missing entries; blocks lie one after
+    the other by their place in the series, then by series.
+    """
+
+    def __init__(self, missing: np.ndarray, size: np.ndarray, window: int):
+        self.window, self.width, self.size = window, window - 1, size
+        count = missing.sum(axis=1)
+        blocks = -(-count // self.width)
+        at = np.full((len(size), blocks.max() * self.width), -1)
+        for k, c in enumerate(count):
+            at[k, :c] = np.flatnonzero(missing[k])
+        at = at.reshape(len(size), -1, self.width)
+        place, self.row = np.nonzero(np.arange(blocks.max())[:, None] < blocks)
+        self.place, self.at = place, at[self.row, place]
+        before = np.where(place[:, None] > 0, at[self.row, place - 1], -1)
+        self.inner = self._lags(self.at[:, :, None], self.at[:, None, :])
+        self.outer = self._lags(before[:, :, None], self.at[:, None, :])
+
+    def _lags(self, a: np.ndarray, b: np.ndarray) -> tuple:
+        """Lag of the entries a and b (window if apart); for those near an end: where they are, and the bounds of their sum."""
+        lag, early = np.abs(a - b), np.minimum(a, b)
+        near = (lag < self.window) & (early >= 0)
+        cols = (self.size - self.window + 1)[self.row][:, None, None]
+        edge = np.nonzero(near & ((early < self.width - lag) | (early >= cols)))
+        lag = np.where(near, lag, self.window)
+        far, early = lag[edge], early[edge]
+        return lag, edge, np.minimum(early, self.width - far) + 1, np.maximum(0, early - np.broadcast_to(cols, lag.shape)[edge] + 1)
+
+    def only(self, keep: np.ndarray) -> None:
+        """Drops the other series."""
+        mine, number = keep[self.row], np.cumsum(keep) - 1
+        spot = np.cumsum(mine) - 1
+        for name in ("inner", "outer"):
+            lag, edge, stop, begin = getattr(self, name)
+            stay = mine[edge[0]]
+            setattr(self, name, (lag[mine], (spot[edge[0][stay]], edge[1][stay], edge[2][stay]), stop[stay], begin[stay]))
+        self.row, self.place, self.at, self.size = number[self.row[mine]], self.place[mine], self.at[mine], self.size[keep]
+
+    def _band(self, sums: np.ndarray, lags: tuple) -> np.ndarray:
+        lag, edge, stop, begin = lags
+        whole = np.append(sums[:, :, -1], np.zeros((len(sums), 1)), axis=1)
+        out = whole.ravel()[lag + (self.row * (self.window + 1))[:, None, None]]
+        row, far = self.row[edge[0]], lag[edge]
+        out[edge] = sums[row, far, stop] - sums[row, far, begin]
+        return out
+
+    def _times(self, trailing: np.ndarray, sums: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The form's matrix times x, which is 0 behind each size."""
+        w, d, m = self.window, self.width, x.shape[1]
+        out = sums[:, 0, -1:] * x
+        for lag in range(1, w):
+            out[:, : m - lag] += sums[:, lag, -1:] * x[:, lag:]
+            out[:, lag:] += sums[:, lag, -1:] * x[:, : m - lag]
+        # Less the windows that would run over an end.
+        pad = np.pad(x, ((0, 0), (d, 2 * d)))
+        place = np.arange(w)[:, None] + np.arange(d)
+        cols = (self.size - d)[:, None]
+        for begin in (np.zeros_like(cols), cols + d):
+            part = trailing @ np.take_along_axis(pad, begin + np.arange(2 * d), axis=1)[:, place]
+            over = np.zeros((len(x), 2 * d))
+            for i in range(w):
+                over[:, i : i + d] += part[:, i]
+            if begin[0, 0]:
+                mine = (np.arange(len(x))[:, None], cols + np.arange(d))
+                out[mine] -= over[:, :d]
+            else:
+                out[:, :d] -= over[:, d:]
+        return out
+
+    def solve(self, trailing: np.ndarray, x: np.ndarray, ridge: float) -> np.ndarray:
+        """x with the missing entries that leave least to the trailing projection (n, window, window).
+
+        ridge holds entries that nothing determines where they are.
+        """
+        w = self.window
+        sums = np.zeros((len(x), w, w + 1))
+        for lag in range(w):
+            i = np.arange(w - lag)
+            sums[:, lag, 1 : w - lag + 1] = np.cumsum(trailing[:, i, i + lag], axis=1)
+            sums[:, lag, w - lag + 1 :] = sums[:, lag, w - lag : w - lag + 1]
+        there = self.at >= 0
+        spot = (np.broadcast_to(self.row[:, None], self.at.shape)[there], self.at[there])
+        fixed = x.copy()
+        fixed[spot] = 0.0
+        right = np.zeros(self.at.shape)
+        right[there] = ridge * x[spot] - self._times(trailing, sums, fixed)[spot]
+        inner, outer = self._band(sums, self.inner), self._band(sums, self.outer)
+        i = np.arange(self.width)
+        inner[:, i, i] += np.where(there, ridge, 1.0)
+        bounds = np.append(np.flatnonzero(np.diff(self.place, prepend=-1)), len(self.place))
+        ahead, got = np.zeros_like(outer), np.zeros(self.at.shape)
+        steps = list(zip(bounds[:-1], bounds[1:], strict=True))
+        for j, (lo, hi) in enumerate(steps):
+            d, y = inner[lo:hi], right[lo:hi, :, None]
+            if j:
+                past = steps[j - 1][0]
+                back = outer[lo:hi].transpose(0, 2, 1)
+                d, y = d - back @ ahead[past : past + hi - lo], y - back @ got[past : past + hi - lo, :, None]
+            more = bounds[j + 2] - hi if j + 2 < len(bounds) else 0
+            if more:
+                done = np.linalg.solve(d[:more], np.concatenate([outer[hi : hi + more], y[:more]], axis=2))
+                ahead[lo : lo + more], got[lo : lo + more] = done[:, :, :-1], done[:, :, -1]
+            if more < hi - lo:
+                got[lo + more : hi] = np.linalg.solve(d[more:], y[more:])[:, :, 0]
+        for (lo, _), (nxt, end) in reversed(list(zip(steps, steps[1:], strict=False))):
+            k = end - nxt
+            got[lo : lo + k] -= (ahead[lo : lo + k] @ got[nxt:end, :, None])[:, :, 0]
+        out = x.copy()
+        out[spot] = got[there]
+        return out
+
+
+def ssa_settle(
+    series: np.ndarray, known: np.ndarray, size: np.ndarray | None = None, *, window: int = 12, rank: int = 3, rounds: int = 100, tolerance: float = 1e-3
+) -> tuple[np.ndarray, np.ndarray]:
+    """Series (n, m) with the unknown entries filled, n series at once, and whether each of them settled.
+
+    Unknown entries start on the line between their known neighbours.  Replacing
+    them by the averaged diagonals of the leading part again and again walks down
+    what the trailing vectors hold of the trajectory matrix; a round here goes
+    there at once: it takes the singular vectors, then solves for the entries at
+    which the replacing under these vectors would end.  The rounds end when the last
+    change, and the distance still to go as judged by the last two changes, are at
+    most tolerance standard deviations of the series; one that is further off after
+    ``rounds`` of them is not settled.  Series too short for two windows stay on
+    the line.  size is the length of each series if they differ; what lies
+    behind it is ignored.
     """
     n, m = series.shape
+    size = np.full(n, m) if size is None else size
     at = np.arange(m)
-    out = np.empty((n, m))
+    inside = at < size[:, None]
+    out, settled = np.where(known, series, 0.0), np.ones(n, dtype=bool)
+    missing = ~known & inside
     for k in range(n):
-        out[k] = np.interp(at, at[known[k]], series[k, known[k]])
-    if m < 2 * window:
-        return out
-    missing = ~known
-    mean = out.mean(axis=1, keepdims=True)
-    scale = np.maximum(out.std(axis=1, keepdims=True), 1e-9)
-    x = (out - mean) / scale
-    cols = m - window + 1
-    overlap = np.minimum(np.minimum(at + 1, m - at), min(window, cols)).astype(float)
-    open_ = np.arange(n)
+        good = known[k, : size[k]]
+        out[k, : size[k]] = np.interp(at[: size[k]], at[: size[k]][good], series[k, : size[k]][good])
+    todo = np.flatnonzero(missing.any(axis=1) & (size >= 2 * window)) if rank < window else np.zeros(0, dtype=int)
+    if not todo.size:
+        return out, settled
+    todo = todo[np.argsort(-missing[todo].sum(axis=1), kind="stable")]
+    whole = size[todo, None]
+    mean = np.where(inside[todo], out[todo], 0.0).sum(axis=1, keepdims=True) / whole
+    x = np.where(inside[todo], out[todo] - mean, 0.0)
+    scale = np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True) / whole), 1e-9)
+    x /= scale
+    problem = _Missing(missing[todo], size[todo], window)
+    open_ = np.arange(len(todo))
+    before = np.full(len(todo), np.inf)
     for _ in range(rounds):
         part = x[open_]
-        rows = np.stack([part[:, k : k + cols] for k in range(window)], axis=1)
-        _, vectors = np.linalg.eigh(rows @ rows.transpose(0, 2, 1))
-        lead = vectors[:, :, -rank:]
-        rows = lead @ (lead.transpose(0, 2, 1) @ rows)
-        smooth = np.zeros_like(part)
-        for k in range(window):
-            smooth[:, k : k + cols] += rows[:, k]
-        smooth /= overlap
-        new = np.where(missing[open_], smooth, part)
+        _, vectors = np.linalg.eigh(_gram(part, problem.size, window))
+        rest = vectors[:, :, :-rank]
+        x[open_] = new = problem.solve(rest @ rest.transpose(0, 2, 1), part, 1e-9)
         moved = np.abs(new - part).max(axis=1)
-        x[open_] = new
-        open_ = open_[moved > tolerance]
+        pace = np.where(np.isinf(before), 1.0, moved / np.maximum(before, 1e-300))
+        more = moved > tolerance * np.clip(1 / np.maximum(pace, 1e-9) - 1, 1e-4, 1.0)
+        open_, before = open_[more], moved[more]
         if not open_.size:
             break
-    return np.where(missing, x * scale + mean, series)
+        if not more.all():
+            problem.only(more)
+    settled[todo[open_]] = False
+    out[todo] = np.where(missing[todo], x * scale + mean, out[todo])
+    return out, settled
 
 
-def _fill_entity(slots: np.ndarray, values: np.ndarray, low: int, high: int, longest: int, block: int, context: int, limit: float):
-    """Grid rows of the readings in [low, high): slot, value, first and last slot of the filled stretch (-1 if covered).
+def ssa_fill(series: np.ndarray, known: np.ndarray, **options) -> np.ndarray:
+    """The series of ssa_settle."""
+    return ssa_settle(series, known, **options)[0]
+
+
+def _stretches(slots: np.ndarray, values: np.ndarray, low: int, high: int, longest: int, block: int, context: int, limit: float):
+    """Grid rows of the readings in [low, high): slot, value, first and last slot of the filled stretch (-1 if covered), settled; and the blocks to be filled.
 
     slots are sorted and distinct.  Each covered slot of the chunk brings itself
     and the empty stretch behind it, if that has at most ``longest`` slots and a
@@ -83,7 +238,8 @@ def _fill_entity(slots: np.ndarray, values: np.ndarray, low: int, high: int, lon
     # Blocks lie on the absolute grid, so that the result doesn't depend on the chunks.
     number = slots // block
     gaps = own[empty[own] > 0]
-    shapes: dict[int, list[tuple[np.ndarray, np.ndarray, int, int]]] = {}
+    settled = np.ones(n, dtype=bool)
+    members: list[tuple[np.ndarray, np.ndarray, int, int]] = []
     for b in np.unique(number[gaps]):
         inside = gaps[number[gaps] == b]
         left, right = int(inside[0]), int(inside[-1]) + 1
@@ -101,14 +257,46 @@ def _fill_entity(slots: np.ndarray, values: np.ndarray, low: int, high: int, lon
         at = slots[start : stop + 1] - base
         series[at], known[at] = values[start : stop + 1], True
         known[at[-1] :], series[at[-1] :] = True, values[stop]
-        shapes.setdefault(m, []).append((series, known, base, b))
-    for members in shapes.values():
-        done = ssa_fill(np.stack([s for s, *_ in members]), np.stack([k for _, k, *_ in members]))
-        for row, (_, _, base, b) in zip(done, members, strict=True):
-            lo, hi = np.searchsorted(slot, [b * block, (b + 1) * block + longest + 1])
-            mine = np.flatnonzero(filled[lo:hi] & ((first[lo:hi] - 1) // block == b)) + lo
-            value[mine] = row[slot[mine] - base]
-    return slot, value, first, last
+        members.append((series, known, base, b))
+    return (slot, value, first, last, settled), members
+
+
+def _fill(made: list[tuple], longest: int, block: int, limit: float) -> None:
+    """Fills the blocks of all of made (results of _stretches) in place, side by side."""
+    members = [(rows, *m) for rows, blocks in made for m in blocks]
+    if not members:
+        return
+    size = np.array([len(m[1]) for m in members])
+    stack = lambda k: np.stack([np.pad(m[k], (0, size.max() - len(m[k]))) for m in members])
+    done, calm = ssa_settle(stack(1), stack(2), size)
+    calm &= np.abs(done).max(axis=1) <= limit
+    done = np.clip(done, -limit, limit)
+    for filling, ok, ((slot, value, first, _, settled), _, _, base, b) in zip(done, calm, members, strict=True):
+        lo, hi = np.searchsorted(slot, [b * block, (b + 1) * block + longest + 1])
+        mine = np.flatnonzero((first[lo:hi] >= 0) & ((first[lo:hi] - 1) // block == b)) + lo
+        value[mine], settled[mine] = filling[slot[mine] - base], ok
+
+
+def _groups(batches, keys: list[str]):
+    """Tables of rows with the same keys from record batches sorted by them."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if rest and any(rest[0].column(k)[0] != batch.column(k)[0] for k in keys):
+            yield pa.Table.from_batches(rest)
+            rest = []
+        change = np.zeros(batch.num_rows - 1, dtype=bool)
+        for k in keys:
+            change |= pc.not_equal(batch.column(k)[1:], batch.column(k)[:-1]).to_numpy(zero_copy_only=False)
+        bounds = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            if lo:
+                yield pa.Table.from_batches(rest)
+                rest = []
+            rest.append(batch.slice(lo, hi - lo))
+    if rest:
+        yield pa.Table.from_batches(rest)
 
 
 def regular_grid(
@@ -123,18 +311,21 @@ def regular_grid(
     block: int = 1024,
     context: int = 64,
     limit: float = 16.0,
+    together: int = 64,
 ) -> DataFrame:
-    """Rows (key_col, sensor, slot, value, filled, gap_first, gap_last) of a regular series per entity and sensor.
+    """Rows (key_col, sensor, slot, value, filled, gap_first, gap_last, settled) of a regular series per entity and sensor.
 
     value_cols maps the name of a sensor to its column.  A slot is covered if a
     reading in it has a value (neither NULL nor NaN) of that sensor; its value is
     their mean.  Stretches of up to ``longest`` empty slots between two covered
     ones are filled and marked (gap_first and gap_last are the stretch's slots);
     longer ones part recordings and give no rows.  Values beyond +-``limit`` are
-    impossible: they stand as they are, but filling takes them as the limit.  Readings with a NULL key or
+    impossible: they stand as they are, but filling takes them as the limit.  settled is false in filled
+    stretches of a block whose filling did not converge or ran beyond the limit, where it is cut off.  Readings with a NULL key or
     slot take no part; each id counts once; other columns are ignored; an
     entity without values and an empty table give no rows.  chunk is a multiple
     of block, so blocks, and with them the filled values, don't depend on it.
+    A task fills about ``together`` blocks at once, of several groups.
     """
     if chunk % block:
         raise ValueError("chunk must be a multiple of block")
@@ -149,14 +340,15 @@ def regular_grid(
     reach = F.array_distinct(F.array(home, F.floor((F.col("slot") - halo) / chunk), F.floor((F.col("slot") + halo) / chunk)))
     spread = given.withColumn("chunk", F.explode(reach))
 
-    def fill(key: tuple, group: pa.Table) -> pa.Table:
+    types = {"key": None, "sensor": pa.string(), "slot": pa.int64(), "value": pa.float64(), "gap_first": pa.int64(), "gap_last": pa.int64(), "settled": pa.bool_()}
+
+    def found(group: pa.Table):
         ident, slots = group.column("id").to_numpy(), group.column("slot").to_numpy()
         order = np.lexsort((ident, slots))
         keep = np.ones(len(order), dtype=bool)
         keep[1:] = (np.diff(slots[order]) != 0) | (ident[order][1:] != ident[order][:-1])
         order = order[keep]
-        low = key[1].as_py() * chunk
-        parts = []
+        low = group.column("chunk")[0].as_py() * chunk
         for k, name in enumerate(names):
             v = group.column(f"v{k}").to_numpy(zero_copy_only=False).astype(float)[order]
             good = ~np.isnan(v)
@@ -164,25 +356,35 @@ def regular_grid(
                 continue
             covered, inverse = np.unique(slots[order][good], return_inverse=True)
             mean = np.bincount(inverse, v[good]) / np.bincount(inverse)
-            made = _fill_entity(covered, mean, low, low + chunk, longest, block, context, limit)
+            made = _stretches(covered, mean, low, low + chunk, longest, block, context, limit)
             if made is not None:
-                parts.append((name, *made))
-        columns: list[list] = [[], [], [], [], []]
-        for name, *arrays in parts:
-            columns[0].append(pa.array([name]).dictionary_encode().take(pa.array(np.zeros(len(arrays[0]), dtype=np.int32))).cast(pa.string()))
-            for c, a in zip(columns[1:], arrays, strict=True):
-                c.append(pa.array(a))
-        n = sum(len(c) for c in columns[0])
-        keys = pa.array([key[0].as_py()], type=group.schema.field("key").type).take(pa.array(np.zeros(n, dtype=np.int64)))
-        types = [pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-        body = [pa.chunked_array(c, type=t) for c, t in zip(columns, types, strict=True)]
-        return pa.table([keys, *body], names=["key", "sensor", "slot", "value", "gap_first", "gap_last"])
+                yield name, made
+
+    def finish(waiting: list[tuple]):
+        _fill([made for *_, made in waiting], longest, block, limit)
+        for key, name, (arrays, _) in waiting:
+            zero = pa.array(np.zeros(len(arrays[0]), dtype=np.int32))
+            columns = [pa.array([key], type=key.type).take(zero), pa.array([name]).take(zero), *[pa.array(x) for x in arrays]]
+            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, [key.type, *list(types.values())[1:]], strict=True)], names=list(types))
+
+    def fill(batches):
+        # Groups wait for each other, because blocks are filled much faster side by side.
+        waiting, blocks, rows = [], 0, 0
+        for group in _groups(batches, ["key", "chunk"]):
+            for name, made in found(group):
+                waiting.append((group.column("key")[0], name, made))
+                blocks, rows = blocks + len(made[1]), rows + len(made[0][0])
+            if blocks >= together or rows >= 16 * chunk:
+                yield from finish(waiting)
+                waiting, blocks, rows = [], 0, 0
+        yield from finish(waiting)
 
     key_type = given.schema["key"].dataType.simpleString()
-    series = spread.groupBy("key", "chunk").applyInArrow(fill, f"key {key_type}, sensor string, slot bigint, value double, gap_first bigint, gap_last bigint")
+    near = spread.repartition("key", "chunk").sortWithinPartitions("key", "chunk")
+    series = near.mapInArrow(fill, f"key {key_type}, sensor string, slot bigint, value double, gap_first bigint, gap_last bigint, settled boolean")
     mark = lambda c: F.when(F.col(c) >= 0, F.col(c)).alias(c)
     return series.select(
-        F.col("key").alias(key_col), "sensor", "slot", "value", (F.col("gap_first") >= 0).alias("filled"), mark("gap_first"), mark("gap_last")
+        F.col("key").alias(key_col), "sensor", "slot", "value", (F.col("gap_first") >= 0).alias("filled"), mark("gap_first"), mark("gap_last"), "settled"
     )
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldtrace.operators.control import control_chart, flag_implausible
-from fieldtrace.operators.grid import filled_stretches, regular_grid, ssa_fill
+from fieldtrace.operators.grid import filled_stretches, regular_grid, ssa_fill, ssa_settle
 from fieldtrace.operators.intervals import merge_intervals
 
 
@@ -102,6 +102,25 @@ def test_ssa_restores_a_wave():
     assert (filled[known] == wave[known]).all()
 
 
+@pytest.mark.parametrize("gap", [20, 50, 200])
+def test_ssa_goes_on_through_gaps_longer_than_its_window(gap):
+    t = np.arange(1088)
+    wave = np.sin(2 * np.pi * t / 40)
+    known = np.ones(1088, dtype=bool)
+    known[400 : 400 + gap] = False
+    noisy = wave + np.random.default_rng(0).normal(0, 0.05, 1088)
+    filled, settled = ssa_settle(np.where(known, noisy, 0)[None], known[None])
+    assert settled.all() and np.abs(filled[0] - wave)[~known].max() < 0.2
+    assert not ssa_settle(np.where(known, noisy, 0)[None], known[None], rounds=1)[1].any()
+
+
+def test_grid_fills_a_long_gap_and_says_that_it_settled(spark):
+    slots = [s for s in range(900) if not 300 <= s < 350]
+    got = grid(spark, [(s, "a", s, float(np.sin(2 * np.pi * s / 40)), None) for s in slots]).where("filled").collect()
+    assert len(got) == 50 and all(r.settled for r in got)
+    assert max(abs(r.value - np.sin(2 * np.pi * r.slot / 40)) for r in got) < 0.05
+
+
 SPIKY = "data_id BIGINT, deer STRING, t BIGINT, v DOUBLE, key INT, ord INT, id INT, field INT"
 
 
