@@ -7,14 +7,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import previous
 from .sequence import conditional, cumulative_rows, transitions
 
+#: So many chains of one first state and length are drawn together rather than one by one.
+ALIKE = 32
 
-def _simulate(cdf: np.ndarray, first: np.ndarray, length: int, n: int, rng: np.random.Generator) -> np.ndarray:
-    """n-gram counts (chains, states ** n) of chains run side by side from their first states."""
+
+def _simulate(cdf: np.ndarray, first: np.ndarray, length: int, n: int, rng: np.random.Generator, counts: np.ndarray) -> None:
+    """Adds to counts (chains, states ** n) the n-grams of chains run side by side from their first states."""
     k, chains = len(cdf), len(first)
-    counts = np.zeros((chains, k**n), dtype=np.int64)
     state, code, at = first.copy(), first.astype(np.int64), np.arange(chains)
     span = k ** (n - 1)
     for step in range(1, length):
@@ -22,7 +23,29 @@ def _simulate(cdf: np.ndarray, first: np.ndarray, length: int, n: int, rng: np.r
         code = (code % span) * k + state
         if step >= n - 1:
             counts[at, code] += 1
-    return counts
+
+
+def _simulate_alike(cdf: np.ndarray, first: int, length: int, n: int, copies: int, rng: np.random.Generator, counts: np.ndarray) -> None:
+    """Like _simulate for ``copies`` chains of a replicate (a row of counts) with one first state, n at least 2.
+
+    Chains with the same last n - 1 labels are alike, so it is enough to draw how many of them go to each state.
+    """
+    k, replicates = len(cdf), len(counts)
+    p = np.maximum(np.diff(cdf, axis=1, prepend=0.0), 0.0)
+    held = np.zeros((replicates, k), dtype=np.int64)
+    held[:, first] = copies
+    for _ in range(1, length):
+        width = held.shape[1]
+        held = rng.multinomial(held, p[np.arange(width) % k]).reshape(replicates, width * k)
+        if width * k == k**n:
+            counts += held
+            held = held.reshape(replicates, k, -1).sum(axis=1)
+
+
+def _tasks(stream: DataFrame) -> int:
+    """Tasks of little input and much work, which would be coalesced if their number weren't given."""
+    spark = stream.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
 def markov_null(stream: DataFrame, order: list[str], n: int, n_states: int, *, replicates: int, seed: int = 0, segment_rows: int = 20_000) -> DataFrame:
@@ -50,35 +73,55 @@ def markov_null(stream: DataFrame, order: list[str], n: int, n_states: int, *, r
     piece = F.explode(F.expr(f"transform(sequence(0L, (length - 1) DIV {segment_rows}), i -> least({segment_rows + n - 1}L, length - i * {segment_rows}))"))
     segments = segments.select(F.col("first").cast("int").alias("first"), piece.alias("length")).where(F.col("length") >= n)
     groups = segments.groupBy("first", "length").agg(F.count("*").alias("copies"))
-    work = groups.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
-    work = work.repartition(F.xxhash64("first", "length", "copy"))
+    work = groups.repartition(_tasks(stream), F.xxhash64("first", "length"))
 
     def run(batches):
         total = np.zeros((replicates, n_states**n), dtype=np.int64)
         for batch in batches:
-            for first, length, copy in zip(*(batch.column(c).to_pylist() for c in ("first", "length", "copy")), strict=True):
-                rng = np.random.default_rng([seed, first, length, copy])
-                total += _simulate(cdf, np.full(replicates, first), length, n, rng)
+            for first, length, copies in zip(*(batch.column(c).to_pylist() for c in ("first", "length", "copies")), strict=True):
+                rng = np.random.default_rng([seed, first, length])
+                if copies >= ALIKE and n > 1:
+                    _simulate_alike(cdf, first, length, n, copies, rng, total)
+                    continue
+                for _ in range(copies):
+                    _simulate(cdf, np.full(replicates, first), length, n, rng, total)
         replicate, code = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(replicate.astype(np.int32)), pa.array(code), pa.array(total[replicate, code])], names=["replicate", "code", "n"])
 
-    return work.select("first", "length", "copy").mapInArrow(run, "replicate int, code bigint, n bigint").groupBy("replicate", "code").agg(F.sum("n").alias("n"))
+    return work.select("first", "length", "copies").mapInArrow(run, "replicate int, code bigint, n bigint").groupBy("replicate", "code").agg(F.sum("n").alias("n"))
 
 
-def marginal_null(stream: DataFrame, id_col: str, n: int, n_states: int, *, replicates: int, seed: int = 0) -> DataFrame:
+def marginal_null(stream: DataFrame, n: int, n_states: int, *, replicates: int, seed: int = 0, block: int = 1 << 20) -> DataFrame:
     """n-gram counts (replicate, code, n) of random permutations of all labels.
 
-    Each replicate is ordered by a hash of the id; chunks are ranges of the
-    hash, so no replicate is sorted in one task.
+    A permutation depends on how often each label occurs only, so the labels stay
+    where they are.  Replicates run side by side on the cluster; each is drawn
+    block by block, the labels of a block without replacement from those left,
+    and only the counts leave a task.  n-grams with a NULL label don't count.
     """
-    spread = stream.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    draw = F.xxhash64(id_col, "replicate", F.lit(seed))
-    df = spread.select("replicate", "label", F.col(id_col).alias("id"), draw.alias("draw"), F.shiftright(draw, 52).alias("chunk"))
-    code = F.col("label").cast("bigint")
-    for k in range(1, n):
-        df = previous(df, keys=["replicate"], order=["draw", "id"], cols={f"b{k}": "label" if k == 1 else f"b{k - 1}"})
-        code = code + F.col(f"b{k}") * F.lit(n_states**k)
-    return df.withColumn("code", code).where("code IS NOT NULL").groupBy("replicate", "code").agg(F.count("*").alias("n"))
+    held = np.zeros(n_states + 1, dtype=np.int64)
+    for r in stream.groupBy("label").agg(F.count("*").alias("n")).collect():  # a row a label
+        held[n_states if r["label"] is None else r["label"]] += r["n"]
+
+    def run(batches):
+        for batch in batches:
+            for replicate in batch.column("id").to_pylist():
+                rng = np.random.default_rng([seed, replicate])
+                left, total = held.copy(), np.zeros(n_states**n, dtype=np.int64)
+                tail = np.zeros(0, dtype=np.int64)
+                while left.any():
+                    take = left if left.sum() <= block else rng.multivariate_hypergeometric(left, block, method="marginals")
+                    left = left - take
+                    part = np.concatenate([tail, rng.permutation(np.repeat(np.arange(n_states + 1), take))])
+                    grams = [part[k : len(part) - n + 1 + k] for k in range(n)] if len(part) >= n else []
+                    if grams:
+                        code = sum(g * n_states ** (n - 1 - k) for k, g in enumerate(grams))
+                        total += np.bincount(code[np.max(grams, axis=0) < n_states], minlength=n_states**n)
+                    tail = part[len(part) - min(n - 1, len(part)) :]
+                code = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), replicate, dtype=np.int32)), pa.array(code), pa.array(total[code])], names=["replicate", "code", "n"])
+
+    return stream.sparkSession.range(replicates).repartition(_tasks(stream), "id").mapInArrow(run, "replicate int, code bigint, n bigint")
 
 
 def null_distribution(stream: DataFrame, order: list[str], id_col: str, n: int, n_states: int, *, kind: str, replicates: int, seed: int = 0) -> DataFrame:
@@ -86,7 +129,7 @@ def null_distribution(stream: DataFrame, order: list[str], id_col: str, n: int,
     if kind == "first_order":
         return markov_null(stream, order, n, n_states, replicates=replicates, seed=seed)
     if kind == "marginal":
-        return marginal_null(stream, id_col, n, n_states, replicates=replicates, seed=seed)
+        return marginal_null(stream, n, n_states, replicates=replicates, seed=seed)
     raise ValueError(f"unknown null {kind!r}")
 
 

@@ -16,6 +16,7 @@ from fieldtrace.operators import nulls as N
 from fieldtrace.operators import sequence as S
 from fieldtrace.operators import track as G
 from fieldtrace.operators import validate as V
+from fieldtrace.plans import analysis as A
 
 
 def stream(spark, labels, animals=None):
@@ -159,6 +160,41 @@ def test_marginal_null_keeps_counts(spark):
         N.null_distribution(s, ["at"], "at", 1, 4, kind="other", replicates=1)
 
 
+def test_chains_drawn_together_are_as_those_drawn_one_by_one():
+    cdf = np.cumsum([[0.1, 0.6, 0.3], [0.3, 0.1, 0.6], [0.6, 0.3, 0.1]], axis=1)
+    cdf[:, -1] = 1
+    one, many = np.zeros((400, 27), dtype=np.int64), np.zeros((400, 27), dtype=np.int64)
+    for k in range(50):
+        N._simulate(cdf, np.full(400, 1), 6, 3, np.random.default_rng(k), one)
+    N._simulate_alike(cdf, 1, 6, 3, 50, np.random.default_rng(1), many)
+    assert (one.sum(axis=1) == 200).all() and (many.sum(axis=1) == 200).all()
+    assert np.abs(one.mean(axis=0) - many.mean(axis=0)).max() < 0.8 and np.abs(one.std(axis=0) - many.std(axis=0)).max() < 0.6
+
+
+@pytest.mark.parametrize("block", [7, 1 << 20])
+def test_marginal_null_counts_whole_permutations(spark, block):
+    labels = [0, 1, 2, 3] * 30 + [0] * 40
+    null = N.marginal_null(stream(spark, labels), 2, 4, replicates=300, block=block)
+    total = {r.code: r.n for r in null.groupBy("code").agg(F.sum("n").alias("n")).collect()}
+    assert sum(total.values()) == 300 * 159
+    share = np.array([70, 30, 30, 30]) / 160
+    for a in range(4):
+        for b in range(4):
+            assert abs(total[a * 4 + b] / (300 * 159) - share[a] * (share[b] * 160 - (a == b)) / 159) < 0.01
+
+
+def test_planted_triplet_is_flagged_with_the_registered_parameters(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    labels = [0, 1]
+    while len(labels) < 4000:
+        after = [k for k in range(5) if k != labels[-1]]
+        labels.append(2 if labels[-2:] == [0, 1] and rng.random() < 0.8 else int(rng.choice(after)))
+    monkeypatch.setattr(A, "_runs", lambda *_: stream(spark, labels).withColumnRenamed("at", "bout"))
+    got = {r.code: r for r in A.m10_super_prototypes(spark, "").collect()}
+    assert got[0 * 25 + 1 * 5 + 2].super_prototype and got[7].p == 1 / (1 + A.REPLICATES)
+    assert not got[3 * 25 + 1 * 5 + 2].super_prototype
+
+
 def test_significance(spark):
     rng = np.random.default_rng(0)
     observed = spark.createDataFrame([(0, 200), (1, 50), (5, 50)], "code BIGINT, n BIGINT")
