@@ -241,33 +241,42 @@ def first_drops(found: DataFrame, *, keys: list[str], n: int = 3) -> DataFrame:
     return both.select(*keys, pick("head").alias("head"), pick("ear").alias("ear"))
 
 
-def best_lag(df: DataFrame, *, keys: list[str], order: list[str], x: str, y: str, most: int = 50, width: int = 1 << 15) -> DataFrame:
-    """Per key the lag of y behind x, within +-most positions, with the largest cross-correlation (smallest lag on a tie).
+def best_lag(df: DataFrame, *, keys: list[str], order: list[str], x: str, y: str, most: int | None = None, width: int = 1 << 15) -> DataFrame:
+    """Per key the lag of y behind x with the largest cross-correlation (smallest lag on a tie): any lag, or those within +-most.
 
-    Each block of positions contributes its partial sum for every lag; 2 most + 1
-    sums a block are added up.  Values are centred on their key's mean.
+    Every block of x meets every block of y that is in reach; each pair brings
+    its partial sum for every lag it covers, by FFT, and the sums are added up
+    per lag.  A key, such as one recording, of up to width rows is one pair.
+    Values are centred on their key's mean.
     """
-    seq = numbered(df.dropna(subset=[x, y]), keys=keys, order=order, name="pos")
-    means = df.dropna(subset=[x, y]).groupBy(*keys).agg(F.avg(x).alias("mx"), F.avg(y).alias("my"))
-    rows = seq.join(means, keys).select(*keys, "pos", (F.col(x) - F.col("mx")).alias("x"), (F.col(y) - F.col("my")).alias("y"))
-    rows = with_halo(rows, keys=keys, position="pos", width=width, halo=most)
+    whole = df.dropna(subset=[x, y])
+    seq = numbered(whole, keys=keys, order=order, name="pos")
+    means = whole.groupBy(*keys).agg(F.avg(x).alias("mx"), F.avg(y).alias("my"), F.floor((F.count("*") - 1) / width).alias("last"))
+    rows = seq.join(means, keys).select(*keys, "pos", "last", (F.col(x) - F.col("mx")).alias("x"), (F.col(y) - F.col("my")).alias("y"))
+    rows = rows.withColumn("home", F.floor(F.col("pos") / width))
+    apart = F.col("last") if most is None else F.least("last", F.lit(-(-most // width)))
+    others = F.sequence(F.greatest(F.lit(0), F.col("home") - apart), F.least("last", F.col("home") + apart))
+    side = lambda i, v, a, b: rows.withColumn("other", F.explode(others)).select(*keys, F.col(a).alias("block_x"), F.col(b).alias("block_y"), F.lit(i).alias("side"), "pos", F.col(v).alias("v"))
+    rows = side(0, "x", "home", "other").unionByName(side(1, "y", "other", "home"))
     fields = [f"{k} {df.schema[k].dataType.simpleString()}" for k in keys]
 
     def partial(key: tuple, group: pa.Table) -> pa.Table:
-        pos = group.column("pos").to_numpy()
-        order_ = np.argsort(pos)
-        pos = pos[order_]
-        a, b = (group.column(c).to_numpy(zero_copy_only=False)[order_] for c in "xy")
-        low = key[-1].as_py() * width
-        own = np.flatnonzero((pos >= low) & (pos < low + width))
-        lags = np.arange(-most, most + 1)
-        sums = np.zeros(len(lags))
-        for k, lag in enumerate(lags):
-            there = own[(own + lag >= 0) & (own + lag < len(b))]
-            sums[k] = float(a[there] @ b[there + lag])
+        sides, pos, v = group.column("side").to_numpy(), group.column("pos").to_numpy(), group.column("v").to_numpy()
+        parts = []
+        for i in (0, 1):
+            mine = np.flatnonzero(sides == i)
+            mine = mine[np.argsort(pos[mine])]
+            parts.append((pos[mine], v[mine]))
+        (p, a), (q, b) = parts
+        size = 1 << (len(a) + len(b) - 1).bit_length()
+        got = np.fft.irfft(np.fft.rfft(b, size) * np.conj(np.fft.rfft(a, size)), size)
+        shift = np.arange(-(len(a) - 1), len(b))
+        lags, sums = shift + int(q[0] - p[0]), got[shift]
+        if most is not None:
+            sums, lags = sums[np.abs(lags) <= most], lags[np.abs(lags) <= most]
         n = len(lags)
         return pa.table([*[pa.array([v.as_py()] * n, type=group.schema.field(c).type) for c, v in zip(keys, key, strict=False)], pa.array(lags), pa.array(sums)], names=[*keys, "lag", "s"])
 
-    sums = rows.groupBy(*keys, "block").applyInArrow(partial, ", ".join([*fields, "lag bigint", "s double"]))
+    sums = rows.groupBy(*keys, "block_x", "block_y").applyInArrow(partial, ", ".join([*fields, "lag bigint", "s double"]))
     total = sums.groupBy(*keys, "lag").agg(F.round(F.sum("s"), 6).alias("s"))
     return total.groupBy(*keys).agg(F.max(F.struct(F.col("s"), (-F.col("lag")).alias("neg"))).alias("best")).select(*keys, (-F.col("best.neg")).alias("lag"), F.col("best.s").alias("correlation"))

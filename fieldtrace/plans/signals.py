@@ -195,8 +195,12 @@ def w17_first_drops(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def w18_best_lag(spark: SparkSession, folder: str) -> DataFrame:
-    df = readings(spark, folder).where("abs(X_head) <= 16 AND abs(X_ear) <= 16")
-    return rounded(G.best_lag(df, keys=["deer_id"], order=["us", "data_id"], x="X_head", y="X_ear"), 3)
+    """Lag of the ear's sum of axes behind the head's in each recording, among all lags."""
+    df = G.recordings(readings(spark, folder), keys=["deer_id"], order=["us", "data_id"], time_us="us", gap_us=60_000_000)
+    df = df.where(" AND ".join(f"abs({c}) <= 16" for c in [*HEAD, *EAR]))
+    total = lambda cols: sum((F.col(c) for c in cols[1:]), F.col(cols[0]))
+    df = df.withColumn("head", total(HEAD)).withColumn("ear", total(EAR))
+    return rounded(G.best_lag(df, keys=["deer_id", "recording"], order=["us", "data_id"], x="head", y="ear"), 3)
 
 
 def w21_time_axis(spark: SparkSession, folder: str) -> DataFrame:

@@ -235,6 +235,17 @@ def test_best_lag(spark):
     assert G.best_lag(df, keys=["a"], order=["k"], x="x", y="y", most=20, width=100).first().lag == 7
 
 
+@pytest.mark.parametrize("width", [64, 1 << 15])
+@pytest.mark.parametrize("lag", [170, -230])
+def test_best_lag_looks_at_every_lag(spark, lag, width):
+    z = np.random.default_rng(1).normal(size=1000)
+    x, y = z[300:700], z[300 - lag : 700 - lag]
+    df = spark.createDataFrame([(1, k, float(x[k]), float(y[k]), k // 50) for k in range(400)], "a INT, k BIGINT, x DOUBLE, y DOUBLE, chunk INT")
+    got = G.best_lag(df, keys=["a"], order=["k"], x="x", y="y", width=width).first()
+    full = np.correlate(y - y.mean(), x - x.mean(), mode="full")
+    assert got.lag == np.argmax(full) - 399 == lag and got.correlation == pytest.approx(full.max(), abs=1e-5)
+
+
 def test_tokens_and_attribution(spark):
     texts = ["grazing walk, ear flick", "not in view", None, "drinking", "grazing"]
     df = spark.createDataFrame([(k, t, c) for k, (t, c) in enumerate(zip(texts, [6, 1, 1, 2, 0], strict=True))], "id INT, t STRING, c INT")
