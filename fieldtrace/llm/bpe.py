@@ -33,8 +33,11 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 #: A chunk is a word with at most one blank before it, or a stretch of white
 #: space; chunk borders are always piece borders.
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-NONE = np.int32(2**31 - 1)
+#: A leaf without a mergeable pair; beyond every rank * width + position.
+NONE = np.iinfo(np.int64).max
 REMEMBERED = 200_000
+#: With fewer pieces than this, trees are walked one by one: numpy's calls would cost more than the steps.
+FEW = 8
 
 
 def _byte_letters() -> list[str]:
@@ -68,6 +71,7 @@ class PairTable:
         self.keys = np.full(size, -1, dtype=np.int64)
         self.ranks = np.full(size, -1, dtype=np.int64)
         self.keys[at], self.ranks[at], self.mask = keys[order], order, size - 1
+        self.known, self.merged = dict(zip(keys.tolist(), range(len(keys)), strict=True)), self.into.tolist()
 
     @staticmethod
     def _home(key):
@@ -100,7 +104,7 @@ def _merge_block(table: PairTable, tokens: np.ndarray, sizes: np.ndarray) -> tup
     alive = ranks_at < sizes[:, None]
     after = np.tile(np.arange(1, width + 1), (n, 1))
     before = np.tile(np.arange(-1, width - 1), (n, 1))
-    tree = np.full((n, 2 * width), int(NONE), dtype=np.int64)
+    tree = np.full((n, 2 * width), NONE, dtype=np.int64)
     if width > 1:
         pair = table.rank(tokens[:, :-1].ravel(), tokens[:, 1:].ravel()).reshape(n, width - 1)
         usable = (pair >= 0) & alive[:, 1:]
@@ -110,6 +114,10 @@ def _merge_block(table: PairTable, tokens: np.ndarray, sizes: np.ndarray) -> tup
         half = node // 2
         tree[:, half:node] = np.minimum(tree[:, node : 2 * node : 2], tree[:, node + 1 : 2 * node : 2])
         node = half
+    if n < FEW:
+        for k in range(n):
+            _merge_one(table, tree[k], tokens[k], alive[k], int(sizes[k]))
+        return tokens, alive
     flat, toks = tree.ravel(), tokens.ravel()
     nxt, prv, live = after.ravel(), before.ravel(), alive.ravel()
     size = sizes.astype(np.int64)
@@ -146,6 +154,39 @@ def _merge_block(table: PairTable, tokens: np.ndarray, sizes: np.ndarray) -> tup
     return tokens, alive
 
 
+def _merge_one(table: PairTable, tree: np.ndarray, tokens: np.ndarray, alive: np.ndarray, size: int) -> None:
+    """_merge_block for one piece and its filled tree; changes tokens and alive in place."""
+    width = len(tokens)
+    nodes, toks, live = tree.tolist(), tokens.tolist(), alive.tolist()
+    after, before = list(range(1, width + 1)), list(range(-1, width - 1))
+    into, known = table.merged, table.known
+    while nodes[1] < NONE:
+        rank, place = divmod(nodes[1], width)
+        gone = after[place]
+        follow, lead = after[gone], before[place]
+        toks[place], live[gone], after[place] = into[rank], False, follow
+        leaves = {gone: NONE, place: NONE}
+        if follow < size:
+            before[follow] = place
+            r = known.get((toks[place] << 20) | toks[follow])
+            if r is not None:
+                leaves[place] = r * width + place
+        if lead >= 0:
+            r = known.get((toks[lead] << 20) | toks[place])
+            leaves[lead] = NONE if r is None else r * width + lead
+        for leaf, value in leaves.items():
+            at = width + leaf
+            nodes[at] = value
+            while at > 1:
+                other = nodes[at ^ 1]
+                value = value if value < other else other
+                at >>= 1
+                if nodes[at] == value:
+                    break
+                nodes[at] = value
+    tokens[:], alive[:] = toks, live
+
+
 def encode_pieces(table: PairTable, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all pieces one after the other, and each piece's number of tokens."""
     sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))

@@ -66,6 +66,22 @@ def test_pieces_against_plain_merging():
         assert mine == tokens.tolist()
 
 
+@pytest.mark.parametrize("size", [32_768, 32_769, 65_537, 200_000])
+def test_unbroken_pieces_of_any_length(size):
+    rng = random.Random(size)
+    kinds = ["etaoinshrdlu", "0123456789", "!?-=*#.,", "日本語éßж"]
+    texts = ["".join(rng.choice(kind) for _ in range(size // len(kind[0].encode()))) for kind in kinds]
+    assert encoded(Encoder(DEFAULT_VOCAB), texts) == library_ids(texts)
+
+
+def test_few_and_many_pieces_alike():
+    table = PairTable(DEFAULT_VOCAB)
+    rng = random.Random(3)
+    pieces = [bytes(rng.choice(b"theranding") for _ in range(rng.randrange(30, 33))) for _ in range(20)]
+    ids, counts = encode_pieces(table, pieces)
+    assert ids.tolist() == [i for p in pieces for i in encode_pieces(table, [p])[0].tolist()]
+
+
 DOCS = "doc_id BIGINT, text STRING, ids INT, _text INT, n_tokens INT"
 
 
