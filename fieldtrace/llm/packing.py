@@ -1,99 +1,56 @@
 """Filling containers of one capacity with items, by optimal length buckets.
 
-The histogram of item sizes (at most one row for each size up to the capacity)
-goes to the driver, where dynamic programming chooses the bucket boundaries that
-waste the fewest tokens.  Items are then split by hash into groups of a bounded
-number.  In a group the buckets are taken from the largest sizes to the
-smallest: a bucket's items first use the room that larger ones left, then form
-token-budget batches, each closed when the next item would not fit.  A size that
-a third of the corpus has is thus spread over all groups.
+A container holds items of one bucket only, each given the room of the bucket's
+bound, so ``capacity // bound`` of them: the token budget of a batch.  The
+histogram of item sizes (at most one row for each size up to the capacity) goes
+to the driver, where dynamic programming chooses the bounds that need the fewest
+containers, the last and part-filled one of each bucket included.  Every bucket
+is one stream of batches: its items are numbered through, by a row number in each
+of many hash groups and a sum over the groups' sizes, and the number gives the
+container.  A size that a third of the corpus has is thus spread over all groups.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
 
 def choose_buckets(sizes: list[int], counts: list[int], capacity: int, buckets: int) -> list[int]:
-    """Upper bounds of at most ``buckets`` size buckets that minimise the padding.
+    """Upper bounds of at most ``buckets`` size buckets that need the fewest containers, the fewest buckets on a tie.
 
-    An item in a bucket of bound b takes capacity // (capacity // b) tokens of a
-    full container; what it doesn't use is padding, and so is half a container
-    for the last one of each bucket.  The last bound is the largest size.  No
-    sizes give no bounds.
+    n items in a bucket of bound b fill ceil(n / (capacity // b)) containers, so
+    what the program counts is what pack_items uses; with the number of
+    containers, padding and unused room are least together.  The last bound is
+    the largest size.  No sizes give no bounds.
     """
     if not sizes:
         return []
     order = np.argsort(sizes)
-    size, count = np.asarray(sizes)[order], np.asarray(counts, dtype=float)[order]
-    room = capacity / (capacity // size)
-    many = np.concatenate([[0.0], np.cumsum(count)])
-    tokens = np.concatenate([[0.0], np.cumsum(count * size)])
-    n = len(size)
-    best = np.full(n + 1, np.inf)
-    best[0] = 0.0
-    choice = []
-    for _ in range(min(buckets, n)):
-        now, at = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=int)
-        for b in range(1, n + 1):
-            cost = best[:b] + capacity / 2 + (many[b] - many[:b]) * room[b - 1] - (tokens[b] - tokens[:b])
-            at[b] = int(np.argmin(cost))
-            now[b] = cost[at[b]]
-        choice.append(at)
-        if now[n] >= best[n]:
-            choice.pop()
-            break
-        best = now
+    size, count = np.asarray(sizes)[order], np.asarray(counts, dtype=np.int64)[order]
+    n, layers = len(size), min(buckets, len(size))
+    many = np.concatenate([[0], np.cumsum(count)])
+    # best[k, b]: containers of the b smallest sizes in k buckets.
+    best = np.full((layers + 1, n + 1), np.iinfo(np.int64).max // 2)
+    best[0, 0] = 0
+    begin = np.zeros((layers + 1, n + 1), dtype=np.int64)
+    for b in range(1, n + 1):
+        per = capacity // int(size[b - 1])
+        total = best[:-1, :b] - (many[:b] - many[b]) // per
+        begin[1:, b] = np.argmin(total, axis=1)
+        best[1:, b] = np.take_along_axis(total, begin[1:, b, None], axis=1)[:, 0]
     bounds, b = [], n
-    for at in reversed(choice):
-        if b == 0:
-            break
+    for k in range(int(np.argmin(best[:, n])), 0, -1):
         bounds.append(int(size[b - 1]))
-        b = int(at[b])
-    return sorted(bounds)
-
-
-def _fill(capacity: int):
-    """Fills containers with a group's items, bucket by bucket from the largest sizes."""
-
-    def run(group: pa.Table) -> pa.Table:
-        size, bucket = group.column("size").to_numpy(), group.column("bucket").to_numpy()
-        no = np.zeros(len(size), dtype=np.int64)
-        room = np.zeros(0, dtype=np.int64)
-        for b in np.unique(bucket)[::-1]:
-            items = np.flatnonzero(bucket == b)
-            items = items[np.argsort(-size[items], kind="stable")]
-            ends = np.cumsum(size[items])
-            at = 0
-            for c in np.flatnonzero(room >= size[items[-1]]):
-                base = ends[at - 1] if at else 0
-                stop = int(np.searchsorted(ends, base + room[c], side="right"))
-                if stop > at:
-                    no[items[at:stop]] = c
-                    room[c] -= ends[stop - 1] - base
-                    at = stop
-                    if at == len(items):
-                        break
-            opened = []
-            while at < len(items):
-                base = ends[at - 1] if at else 0
-                stop = int(np.searchsorted(ends, base + capacity, side="right"))
-                no[items[at:stop]] = len(room) + len(opened)
-                opened.append(capacity - (ends[stop - 1] - base))
-                at = stop
-            room = np.concatenate([room, np.array(opened, dtype=np.int64)])
-        return group.append_column("no", pa.array(no)).select(["id", "part", "size", "grp", "no"])
-
-    return run
+        b = int(begin[k, b])
+    return bounds[::-1]
 
 
 def pack_items(
-    items: DataFrame, *, capacity: int, id_col: str = "doc_id", size_col: str = "n_tokens", buckets: int = 32, group_rows: int = 50_000
+    items: DataFrame, *, capacity: int, id_col: str = "doc_id", size_col: str = "n_tokens", buckets: int = 64, group_rows: int = 50_000
 ) -> DataFrame:
     """Rows (id_col, part INT, size BIGINT, container STRING), in which no container holds more than capacity.
 
@@ -101,7 +58,8 @@ def pack_items(
     cut, into full containers and a rest (part 0, 1, ...).  Items of size 0 or
     NULL (empty and NULL texts) need no room: one row with size 0 and a NULL
     container.  Repeated rows are packed as often as they occur; other columns
-    are ignored; an empty table gives no rows.
+    are ignored; an empty table gives no rows.  The sizes are computed when the
+    function is called, because the buckets depend on them.
     """
     items = cut_lineage(items.select(F.col(id_col).alias("id"), F.coalesce(F.col(size_col).cast("bigint"), F.lit(0)).alias("size")))
     parts = items.where("size > 0").select(
@@ -115,11 +73,24 @@ def pack_items(
     packed = full
     if bounds:
         groups = -(-sum(histogram.values()) // group_rows)
-        bucket = F.lit(len(bounds) - 1)
-        for k in reversed(range(len(bounds))):
-            bucket = F.when(F.col("size") <= bounds[k], k).otherwise(bucket)
-        rest = parts.where(F.col("size") < capacity).select("id", "part", "size", bucket.alias("bucket"), F.pmod(F.xxhash64("id", "part"), F.lit(groups)).alias("grp"))
-        kind = items.schema["id"].dataType.simpleString()
-        filled = rest.groupBy("grp").applyInArrow(_fill(capacity), f"id {kind}, part int, size bigint, grp bigint, no bigint")
-        packed = packed.union(filled.select("id", "part", "size", F.concat_ws("-", "grp", "no").alias("container")))
+        bucket, per = F.lit(len(bounds) - 1), F.lit(capacity // bounds[-1])
+        for k in reversed(range(len(bounds) - 1)):
+            inside = F.col("size") <= bounds[k]
+            bucket, per = F.when(inside, k).otherwise(bucket), F.when(inside, capacity // bounds[k]).otherwise(per)
+        rest = parts.where(F.col("size") < capacity).select("id", "part", "size", bucket.alias("bucket"), per.alias("per"), F.pmod(F.xxhash64("id", "part"), F.lit(groups)).alias("grp"))
+        at = F.row_number().over(Window.partitionBy("bucket", "grp").orderBy("id", "part"))
+        # A row for each bucket and group.
+        sums = rest.groupBy("bucket", "grp").agg(F.count("*").alias("n"))
+        earlier = Window.partitionBy("bucket").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.select("bucket", "grp", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier"))
+        placed = rest.withColumn("at", at).join(sums, ["bucket", "grp"])
+        no = F.expr("(at - 1 + earlier) DIV per")
+        packed = packed.union(placed.select("id", "part", "size", F.concat_ws("-", "bucket", no).alias("container")))
     return packed.union(none).select(F.col("id").alias(id_col), "part", "size", "container")
+
+
+def fill(packed: DataFrame, *, capacity: int) -> DataFrame:
+    """One row of a pack_items result: capacity, n_items, n_containers, tokens and their share of the room."""
+    sums = packed.where("container IS NOT NULL").groupBy("container").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    total = sums.agg(F.sum("n").alias("n_items"), F.count("*").alias("n_containers"), F.sum("size").alias("tokens"))
+    return total.select(F.lit(capacity).alias("capacity_tokens"), "n_items", "n_containers", "tokens", F.try_divide("tokens", F.col("n_containers") * capacity).alias("fill"))

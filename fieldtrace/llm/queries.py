@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import cut_lineage, table
 from .bpe import count_tokens, encode_corpus
 from .mapping import map_values
-from .packing import pack_items
+from .packing import fill, pack_items
 from .quality import text_types
 from .runs import collapse_runs
 
@@ -40,9 +41,20 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents"))
 
 
+def _capacities(spark: SparkSession, folder: str) -> list[int]:
+    """The capacities of token_bins, a small fixed table, in order."""
+    return sorted(r[0] for r in table(spark, folder, "token_bins").select("capacity_tokens").distinct().collect())
+
+
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
-    """The containers of 8,192 tokens that hold the corpus."""
-    return pack_items(count_tokens(table(spark, folder, "documents")), capacity=8192)
+    """The containers of the largest capacity that hold the corpus."""
+    return pack_items(count_tokens(table(spark, folder, "documents")), capacity=_capacities(spark, folder)[-1])
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    sizes = cut_lineage(count_tokens(table(spark, folder, "documents")))
+    return reduce(DataFrame.union, [fill(pack_items(sizes, capacity=c), capacity=c) for c in _capacities(spark, folder)])
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,7 +66,7 @@ def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = (p2_found, p2_unmatched, p3_found, p3_runs, p6_ids, p7_containers, p8_found, p8_statistics)
+    names = (p2_found, p2_unmatched, p3_found, p3_runs, p6_ids, p7_containers, p7_fill, p8_found, p8_statistics)
     return {f.__name__: f for f in names}
 
 

@@ -201,15 +201,15 @@ def test_buckets_are_optimal():
         counts = [rng.randrange(1, 50) for _ in sizes]
 
         def cost(bounds):
-            low, total = 0, 0.0
+            low, total = 0, 0
             for b in bounds:
                 n = sum(c for s, c in zip(sizes, counts, strict=True) if low < s <= b)
-                total += n * 64 / (64 // b) + 32
+                total += -(-n // (64 // b))
                 low = b
             return total
 
         best = min(cost([*c, sizes[-1]]) for r in range(3) for c in combinations(sizes[:-1], r))
-        assert cost(P.choose_buckets(sizes, counts, 64, 3)) == pytest.approx(best)
+        assert cost(P.choose_buckets(sizes, counts, 64, 3)) == best
     assert P.choose_buckets([], [], 64, 3) == []
 
 
@@ -217,17 +217,31 @@ def test_containers(spark):
     rng = random.Random(5)
     sizes = [rng.choice([0, 1, 7, 30, 64, 65, 200, None]) for _ in range(300)]
     df = spark.createDataFrame([(k, s, "x", 1) for k, s in enumerate(sizes)], "doc_id BIGINT, n_tokens BIGINT, bucket STRING, id INT")
-    got = P.pack_items(df, capacity=64, group_rows=40).collect()
+    packed = P.pack_items(df, capacity=64, group_rows=40, buckets=4)
+    got = packed.collect()
     whole, held = {}, {}
     for r in got:
         whole[r.doc_id] = whole.get(r.doc_id, 0) + r.size
-        held[r.container] = held.get(r.container, 0) + r.size
+        held.setdefault(r.container, []).append(r.size)
         assert r.part == 0 or sizes[r.doc_id] > 64
         assert (r.container is None) == (r.size == 0)
     assert whole == {k: s or 0 for k, s in enumerate(sizes)}
-    assert max(v for k, v in held.items() if k) <= 64
-    full = sum(whole.values()) / (64 * sum(1 for k in held if k))
-    assert full > 0.9
+    del held[None]
+    assert max(map(sum, held.values())) <= 64
+    # As many containers as the program counted, each with items of one bucket.
+    rests = [r.size for r in got if 0 < r.size < 64]
+    bounds = P.choose_buckets(*map(list, zip(*[(s, rests.count(s)) for s in set(rests)], strict=True)), 64, 4)
+    want = sum(-(-sum(lo < s <= hi for s in rests) // (64 // hi)) for lo, hi in zip([0, *bounds], bounds, strict=False))
+    assert len(held) == want + sum(r.size == 64 for r in got)
+    assert all(sum(max(v) <= b for b in bounds) == sum(min(v) <= b for b in bounds) for v in held.values())
+    row = P.fill(packed, capacity=64).first()
+    assert (row.n_containers, row.tokens) == (len(held), sum(whole.values())) and row.fill == row.tokens / (64 * row.n_containers)
+
+
+def test_containers_of_copies_and_of_nothing(spark):
+    df = spark.createDataFrame([(1, 20)] * 50 + [(None, 20)], "doc_id BIGINT, n_tokens BIGINT")
+    held = [r.n for r in P.pack_items(df, capacity=64, group_rows=10).groupBy("container").agg(F.count("*").alias("n")).collect()]
+    assert sorted(held) == [3] * 17
     assert P.pack_items(df.limit(0), capacity=64).count() == 0
 
 
