@@ -2,12 +2,17 @@
 
 A reference string of n letters may differ from what was typed by k(n) edits.
 Cut into k + 1 stretches, at least one of them occurs unchanged in the typed
-string, at most k places from where it stands in the reference.  The join is
-therefore an equality join on (length, stretch number, substring); what it finds
-is verified with the built-in levenshtein.  Everything is SQL.
+string, not far from where it stands in the reference.  The join is therefore an
+equality join on (length, stretch number, substring); what it finds is verified
+with the built-in levenshtein.  Everything is SQL.
 
 The typed values are reduced to distinct phrases before the join, so a value
-that fills a third of the table is looked up once.
+that fills a third of the table is looked up once.  The reference side grows
+with the canonical list only; up to a checked size it is broadcast, so a probe
+that meets no stretch never leaves its task.
+
+Remarks that observers put before or behind a behaviour are learned from the
+values themselves: words beside exactly written behaviours of several kinds.
 """
 
 from __future__ import annotations
@@ -17,11 +22,11 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-# How observers part several behaviours in one value, and the
-# remarks they put before or behind a behaviour.
+# How observers part several behaviours in one value.
 PARTING = r"\s*(?:[;,/&+]|\bthen\b|\s-\s)\s*"
-BEFORE = "mostly|slow|starts|still|just|prob"
-BEHIND = "again|briefly|near gate|for most of clip|long bout|good view|left side|windy|rain|lens dirty|camera moved|deer 7 behind|x\\d+|\\d+s|0 ?14"
+
+#: Up to so many reference stretches (some 60 bytes each) are broadcast.
+BROADCAST_STRETCHES = 100_000
 
 # Forms that no rule below makes from a name or a description.
 ALIASES = {
@@ -103,7 +108,7 @@ def references(canonical: DataFrame, *, aliases: dict[str, str] | None = None) -
     """
     spark = canonical.sparkSession
     aliases = ALIASES if aliases is None else aliases
-    listed = spark.createDataFrame([(k, v) for k, v in aliases.items()], "name string, alias string")
+    listed = spark.createDataFrame(list(aliases.items()), "name string, alias string")
     base = canonical.coalesce(1).select("behaviour_id", F.lower("name").alias("name"), "code", F.lower("description").alias("description"))
     named = base.select("behaviour_id", F.col("name").alias("phrase"), F.lit(0).alias("kind"))
     described = base.select("behaviour_id", F.explode(F.split(F.regexp_replace("description", r"\b(the|a|an|one|its) | or [^,]*", ""), r"\s*,\s*")).alias("phrase"), F.lit(1).alias("kind"))
@@ -142,69 +147,112 @@ def _stretches(n: str, k: str) -> str:
     )
 
 
-def pigeonhole_pairs(typed: DataFrame, refs: DataFrame, *, most: int = 3) -> DataFrame:
+def _small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has at most BROADCAST_STRETCHES rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_STRETCHES + 1).count() <= BROADCAST_STRETCHES else df
+
+
+def pigeonhole_pairs(typed: DataFrame, refs: DataFrame) -> DataFrame:
     """Rows (typed, ref, behaviour_id, origin, d): each typed string with every reference string within its k edits.
 
     typed has a column ``typed`` of distinct strings of letters; refs has
     behaviour_id, ref, origin, k, n.  Complete: by the pigeonhole principle no pair
-    within k edits is missed.  Empty tables give no rows, NULL never joins.
+    within k edits is missed.  Some stretch i that is kept has at most i edits
+    before it and at most k - i behind it, which bounds how far it can have moved.
+    Empty tables give no rows, NULL never joins.  refs is read when the function
+    is called, to learn the largest k and whether it can be broadcast.
     """
+    most = refs.agg(F.max("k")).first()[0] or 0
     cut = refs.select("behaviour_id", "ref", "origin", "n", "k", F.explode(F.expr(_stretches("n", "k"))).alias("s")).select(
         "behaviour_id", "ref", "origin", "n", "k", F.col("s.no").alias("no"), F.expr("substr(ref, s.at + 1, s.len)").alias("part")
     )
     shapes = refs.select("n", "k").distinct()
-    # Bounded by the shapes of the reference strings (a few dozen), not by the data.
+    moves = "IF(greatest(-s.no, m - n - (k - s.no)) <= least(s.no, m - n + (k - s.no)), sequence(greatest(-s.no, m - n - (k - s.no)), least(s.no, m - n + (k - s.no))), array())"
+    # The distinct strings may have come in one partition; the probes are many times their number.
+    spread = typed.repartition(max(int(typed.sparkSession.conf.get("spark.sql.shuffle.partitions")), typed.sparkSession.sparkContext.defaultParallelism), "typed")
     probe = (
-        typed.withColumn("m", F.length("typed"))
-        .join(shapes, F.abs(F.col("m") - F.col("n")) <= F.col("k"))
+        spread.withColumn("m", F.length("typed"))
+        .withColumn("n", F.explode(F.expr(f"sequence(greatest(0, m - {most}), m + {most})")))
+        .join(_small(shapes), "n")
+        .where("abs(m - n) <= k")
         .select("typed", "n", "k", "m", F.explode(F.expr(_stretches("n", "k"))).alias("s"))
-        .select("typed", "n", "k", "m", "s", F.explode(F.expr("sequence(greatest(0, s.at - k), greatest(0, s.at + k))")).alias("at"))
-        .where("at + s.len <= m")
-        .select("typed", "n", "k", F.col("s.no").alias("no"), F.expr("substr(typed, at + 1, s.len)").alias("part"))
-        .distinct()
+        .select("typed", "n", "k", "m", "s", F.explode(F.expr(moves)).alias("move"))
+        .where("s.at + move >= 0 AND s.at + move + s.len <= m")
+        .select("typed", "n", "k", F.col("s.no").alias("no"), F.expr("substr(typed, s.at + move + 1, s.len)").alias("part"))
     )
-    found = probe.join(cut, ["n", "k", "no", "part"]).select("typed", "ref", "behaviour_id", "origin", "k").distinct()
-    return found.withColumn("d", F.levenshtein("typed", "ref")).where("d <= k").select("typed", "ref", "behaviour_id", "origin", "d")
+    found = probe.join(_small(cut), ["n", "k", "no", "part"]).withColumn("d", F.levenshtein("typed", "ref")).where("d <= k")
+    return found.select("typed", "ref", "behaviour_id", "origin", "d").distinct()
 
 
-def transposed_pairs(typed: DataFrame, refs: DataFrame, *, shortest: int = 6, most: int = 5) -> DataFrame:
+def transposed_pairs(typed: DataFrame, refs: DataFrame, *, shortest: int = 4) -> DataFrame:
     """Like pigeonhole_pairs, for strings whose letters mainly changed places.
 
     The same join on the letters in alphabetical order, where a change of places
-    is no edit and one edit is left for the rest; the strings themselves may
-    then be ``most`` edits apart.  Only forms made from names, of ``shortest`` letters
-    or more.
+    is no edit; one edit is left for the rest of a form of 6 letters or more, none
+    for shorter ones.  The strings themselves may then be 5, or 2, edits apart.
+    Only forms made from names, of ``shortest`` letters or more.
     """
     ordered = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
+    left = F.when(F.col("n") >= 6, 1).otherwise(0)
     a = typed.select(F.col("typed").alias("as_typed"), ordered(F.col("typed")).alias("typed"))
-    b = refs.where((F.col("origin") == 0) & (F.col("n") >= shortest)).select("behaviour_id", F.col("ref").alias("as_ref"), ordered(F.col("ref")).alias("ref"), "origin", F.lit(1).alias("k"), "n")
+    b = refs.where((F.col("origin") == 0) & (F.col("n") >= shortest)).select("behaviour_id", F.col("ref").alias("as_ref"), ordered(F.col("ref")).alias("ref"), "origin", left.alias("k"), "n")
     near = pigeonhole_pairs(a.select("typed").distinct(), b.select("behaviour_id", "ref", "origin", "k", "n").distinct()).drop("d", "origin")
-    back = near.join(a, "typed").join(b, ["behaviour_id", "ref"])
+    back = near.join(a, "typed").join(_small(b), ["behaviour_id", "ref"])
     d = F.levenshtein("as_typed", "as_ref")
-    return back.select(F.col("as_typed").alias("typed"), F.col("as_ref").alias("ref"), "behaviour_id", "origin", d.alias("d")).where(F.col("d") <= most)
+    return back.where(d <= F.when(F.col("k") > 0, 5).otherwise(2)).select(F.col("as_typed").alias("typed"), F.col("as_ref").alias("ref"), "behaviour_id", "origin", d.alias("d"))
+
 
+def _words(part: Column) -> Column:
+    """The words of a phrase in lower case; numbers in a word stand as #, numbers alone are left out."""
+    plain = F.regexp_replace(F.lower(part), r"\p{N}+", "#")
+    return F.array_except(F.split(F.trim(F.regexp_replace(plain, r"[^\p{L}#]+", " ")), " "), F.array(F.lit("#"), F.lit("")))
 
-def _ways(part: Column) -> Column:
-    """The letters of a phrase with and without the remarks before and behind it."""
-    clean = F.trim(F.regexp_replace(part, r"[^\p{L}\p{N}]+", " "))
-    once = F.regexp_replace(clean, rf"^(?:{BEFORE}) (?=\S)", "")
-    headless = F.regexp_replace(clean, rf"^(?:(?:{BEFORE}) )+(?=\S)", "")
-    tailless = [F.regexp_replace(c, rf"(?<=\S)(?: (?:{BEHIND}))+$", "") for c in (clean, once, headless)]
-    return F.array_distinct(F.array(*(_letters(c) for c in (clean, once, headless, *tailless))))
+
+def _spans(parts: DataFrame, longest: int) -> DataFrame:
+    """parts (with words) once for every way of leaving out up to ``longest`` words at either end: phrase (all of them), before, behind and typed (the letters between)."""
+    count = F.size("words")
+    left_out = lambda rest: F.explode(F.expr(f"sequence(0, least({longest}, {rest}))"))
+    rows = parts.where(count > 0).select("*", left_out("size(words) - 1").alias("_i")).select("*", left_out("size(words) - _i - 1").alias("_j"))
+    text = lambda c: F.array_join(c, " ")
+    return rows.select(
+        *parts.columns,
+        text(F.col("words")).alias("phrase"),
+        text(F.slice("words", F.lit(1), F.col("_i"))).alias("before"),
+        text(F.slice("words", count - F.col("_j") + 1, F.col("_j"))).alias("behind"),
+        _letters(text(F.slice("words", F.col("_i") + 1, count - F.col("_i") - F.col("_j")))).alias("typed"),
+    ).where("typed <> ''")
+
+
+def learn_remarks(spans: DataFrame, refs: DataFrame, *, support: int = 3) -> DataFrame:
+    """Rows (side, remark): what stands before (``before``) or behind (``behind``) exactly written entries of at least ``support`` kinds.
+
+    spans is a result of _spans; refs as in pigeonhole_pairs.  What is itself a
+    reference string is no remark.
+    """
+    exact = _small(refs.select(F.col("ref").alias("typed"), "behaviour_id").distinct())
+    one = spans.where("(before = '') <> (behind = '')").join(exact, "typed")
+    beside = one.select(F.expr("IF(before = '', 'behind', 'before')").alias("side"), F.concat("before", "behind").alias("remark"), "behaviour_id")
+    # A row for each pair of remark and entry, then of remarks; behaviour_id has as many values as the canonical list.
+    often = beside.distinct().groupBy("side", "remark").agg(F.count("*").alias("kinds")).where(F.col("kinds") >= support)
+    return often.join(exact.select(F.col("typed").alias("_l")).distinct(), _letters(F.col("remark")) == F.col("_l"), "left_anti").select("side", "remark")
 
 
 def map_values(
-    rows: DataFrame, canonical: DataFrame, *, id_col: str = "register_id", value_col: str = "Behaviour", aliases: dict[str, str] | None = None
+    rows: DataFrame, canonical: DataFrame, *, id_col: str = "register_id", value_col: str = "Behaviour", aliases: dict[str, str] | None = None,
+    longest: int = 4, support: int = 3,
 ) -> DataFrame:
     """Rows (id_col, behaviour_id), distinct: what each non-blank value means, -1 if nothing on the list.
 
     A value is taken as a whole if a reference string is at most one edit away;
     else its parts are looked up one by one, and parts that mean nothing
     (remarks) are left out; if none means anything, the whole is taken with all
-    edits allowed.  The nearest reference string wins; on a tie one made from a name, then
-    the smaller behaviour_id.
+    edits allowed.  Every phrase is looked up as it stands and without the remarks
+    at its ends, which are learned from the values (learn_remarks; of up to
+    ``longest`` words).  The nearest reference string wins; on a tie one made from
+    a name, then the smaller behaviour_id.
     NULL and blank values give no row; a repeated id with the same value counts
-    once; other columns are ignored.
+    once; other columns are ignored; empty tables give no rows, an empty list -1.
+    The references, remarks and pairs are computed when the function is called.
     """
     given = rows.select(F.col(id_col).alias("_id"), F.col(value_col).alias("value")).where(F.col("value").rlike(r"\S"))
     values = given.select("value").distinct().select("value", F.lower("value").alias("low"))
@@ -212,7 +260,13 @@ def map_values(
     parts = values.select("value", F.lit(0).alias("level"), F.lit(0).alias("no"), F.col("low").alias("part")).union(
         values.select("value", F.lit(1), F.posexplode(F.split("low", PARTING)))
     )
-    parts = parts.select("value", "level", "no", F.explode(_ways(F.col("part"))).alias("typed")).where("typed <> ''")
+    spans = cut_lineage(_spans(parts.select("value", "level", "no", _words(F.col("part")).alias("words")), longest).drop("words"))
+    remarks = cut_lineage(learn_remarks(spans, refs, support=support))
+    # As many rows as there are remarks in use; beyond the checked size it is an ordinary join.
+    known = lambda side: _small(remarks.where(F.col("side") == side).select(F.col("remark").alias(side)).union(remarks.sparkSession.createDataFrame([("",)], f"{side} string")))
+    # A phrase that is nothing but a remark means nothing.
+    spans = spans.join(remarks.select(F.col("remark").alias("phrase")).distinct(), "phrase", "left_anti")
+    parts = spans.join(known("before"), "before").join(known("behind"), "behind").select("value", "level", "no", "typed").distinct()
     typed = parts.select("typed").distinct()
     pairs = cut_lineage(pigeonhole_pairs(typed, refs))
     pairs = pairs.union(transposed_pairs(typed.join(pairs.select("typed").distinct(), "typed", "left_anti"), refs))

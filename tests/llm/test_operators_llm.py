@@ -137,14 +137,34 @@ def mapped(spark, values):
 
 
 def test_values(spark):
-    values = {
+    remarks = [("mostly ", ""), ("", " near gate"), ("", "; rain"), ("", " rain"), ("", " x3")]
+    beside = {f"{a}{name}{b}": {k} for a, b in remarks for k, name, *_ in LIST}
+    values = beside | {
         "grazing": {1}, " GRAZZING. ": {1}, "grz": {1}, "grazes then Stand Still": {1, 2}, "upright, motionless": {2}, "earflick; rain": {3}, "flicking ear": {3},
-        "mostly walkng near gate": {4}, "slow gait": {4}, "walkie talkie broke": {-1}, "??": {-1}, None: set(), "  ": set(), "": set(), "stood still/EFL": {2, 3},
+        "mostly walkng near gate": {4}, "Mostly EFL x12": {3}, "rain": {-1}, "near gate": {-1}, "grazing; rain; near gate": {1}, "seldom walking": {-1}, "slow gait": {4}, "walkie talkie broke": {-1}, "??": {-1}, None: set(), "  ": set(), "": set(), "stood still/EFL": {2, 3},
     }
     assert mapped(spark, list(values)) == list(values.values())
     assert mapped(spark, []) == []
 
 
+def test_remarks_are_learned(spark):
+    """What stands beside two kinds of entry is no remark with a support of three, nor is an entry itself."""
+    canonical = spark.createDataFrame(LIST, "behaviour_id INT, name STRING, code STRING, description STRING")
+    refs = M.references(canonical, aliases={}).cache()
+    typed = ["grazing again", "walking again", "ear flick again", "grazing alone", "walking alone", "big grazing", "big walking", "big ear flick", "grazing walking", "ear flick walking", "efl walking"]
+    parts = spark.createDataFrame([(t.split(),) for t in typed], "words ARRAY<STRING>")
+    got = M.learn_remarks(M._spans(parts, 4), refs)
+    assert sorted(map(tuple, got.collect())) == [("before", "big"), ("behind", "again")]
+
+
+def test_without_aliases(spark):
+    rows = spark.createDataFrame([(1, "grazed"), (2, "frozen pose")], "register_id BIGINT, Behaviour STRING")
+    canonical = spark.createDataFrame(LIST, "behaviour_id INT, name STRING, code STRING, description STRING")
+    assert sorted(map(tuple, M.map_values(rows, canonical, aliases={}).collect())) == [(1, 1), (2, -1)]
+    assert sorted(map(tuple, M.map_values(rows, canonical, aliases={"standing still": "frozen pose"}).collect())) == [(1, 1), (2, 2)]
+    assert sorted(map(tuple, M.map_values(rows, canonical.limit(0)).collect())) == [(1, -1), (2, -1)]
+
+
 def test_long_and_repeated_values(spark):
     assert mapped(spark, ["grazing"] * 3 + ["z" * 5000]) == [{1}] * 3 + [{-1}]
 
