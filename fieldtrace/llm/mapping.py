@@ -147,6 +147,12 @@ def _stretches(n: str, k: str) -> str:
     )
 
 
+def _tasks(df: DataFrame) -> int:
+    """Tasks for little input and much work, which would be coalesced if their number weren't given."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def _small(df: DataFrame) -> DataFrame:
     """df, to be broadcast if it has at most BROADCAST_STRETCHES rows."""
     return F.broadcast(df) if df.limit(BROADCAST_STRETCHES + 1).count() <= BROADCAST_STRETCHES else df
@@ -169,7 +175,7 @@ def pigeonhole_pairs(typed: DataFrame, refs: DataFrame) -> DataFrame:
     shapes = refs.select("n", "k").distinct()
     moves = "IF(greatest(-s.no, m - n - (k - s.no)) <= least(s.no, m - n + (k - s.no)), sequence(greatest(-s.no, m - n - (k - s.no)), least(s.no, m - n + (k - s.no))), array())"
     # The distinct strings may have come in one partition; the probes are many times their number.
-    spread = typed.repartition(max(int(typed.sparkSession.conf.get("spark.sql.shuffle.partitions")), typed.sparkSession.sparkContext.defaultParallelism), "typed")
+    spread = typed.repartition(_tasks(typed), "typed")
     probe = (
         spread.withColumn("m", F.length("typed"))
         .withColumn("n", F.explode(F.expr(f"sequence(greatest(0, m - {most}), m + {most})")))
@@ -255,7 +261,7 @@ def map_values(
     The references, remarks and pairs are computed when the function is called.
     """
     given = rows.select(F.col(id_col).alias("_id"), F.col(value_col).alias("value")).where(F.col("value").rlike(r"\S"))
-    values = given.select("value").distinct().select("value", F.lower("value").alias("low"))
+    values = given.select("value").distinct().repartition(_tasks(rows), "value").select("value", F.lower("value").alias("low"))
     refs = cut_lineage(references(canonical, aliases=aliases))
     parts = values.select("value", F.lit(0).alias("level"), F.lit(0).alias("no"), F.col("low").alias("part")).union(
         values.select("value", F.lit(1), F.posexplode(F.split("low", PARTING)))
