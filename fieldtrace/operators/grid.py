@@ -35,29 +35,76 @@ def _gram(x: np.ndarray, size: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
+def _nodes(missing: np.ndarray, size: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The missing entries of a series in rows of up to ``width`` (-1 behind them), and how each row follows the one before.
+
+    0 stands for next to it; q for 2^q - 1 rows left out between the two.  Rows
+    are left out inside long gaps, where they all look alike: no known entry and
+    no end of the series within reach.
+    """
+    edges = np.flatnonzero(np.diff(missing.view(np.int8), prepend=0, append=0))
+    rows, links, waiting = [], [], []
+
+    def flush() -> None:
+        if waiting:
+            entries = np.concatenate(waiting)
+            entries = np.append(entries, np.full(-len(entries) % width, -1)).reshape(-1, width)
+            rows.append(entries)
+            links.extend([0] * len(entries))
+            waiting.clear()
+
+    for begin, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        if end - begin < 4 * width or begin < width or end > size - width:
+            waiting.append(np.arange(begin, end))
+            continue
+        flush()
+        starts, more = [begin], (end - begin) // width - 1
+        while more:
+            links.append(len(bin(more)) - 3)
+            starts.append(starts[-1] + (width << links[-1]))
+            more -= 1 << links[-1]
+        links.insert(len(links) - len(starts) + 1, 0)
+        rows.append(np.array(starts)[:, None] + np.arange(width))
+        if starts[-1] + width < end:
+            waiting.append(np.arange(starts[-1] + width, end))
+    flush()
+    return np.concatenate(rows), np.array(links)
+
+
 class _Missing:
     """The least-squares problem of the missing entries of n series, for any given singular vectors.
 
     What the trailing vectors see of the trajectory matrix is a quadratic form of
     the series with a band of window - 1 on either side; over the missing entries
     it is block tridiagonal, and is solved by elimination, series side by side.
-    The series come by falling number of missing entries; blocks lie one after
-    the other by their place in the series, then by series.
+    The rows that _nodes left out are alike, so they are eliminated by doubling:
+    what a stretch of 2^q - 1 of them does to the rows at its ends follows from
+    two stretches of half the length and the row between them.  The series come
+    by falling number of rows; rows lie one after the other by their place in the
+    series, then by series.
     """
 
-    def __init__(self, missing: np.ndarray, size: np.ndarray, window: int):
+    def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray]], size: np.ndarray, window: int):
         self.window, self.width, self.size = window, window - 1, size
-        count = missing.sum(axis=1)
-        blocks = -(-count // self.width)
-        at = np.full((len(size), blocks.max() * self.width), -1)
-        for k, c in enumerate(count):
-            at[k, :c] = np.flatnonzero(missing[k])
-        at = at.reshape(len(size), -1, self.width)
+        blocks = np.array([len(links) for _, links in nodes])
+        at = np.full((len(size), blocks.max(), self.width), -1)
+        link = np.zeros((len(size), blocks.max()), dtype=np.int64)
+        for k, (rows, links) in enumerate(nodes):
+            at[k, : len(links)], link[k, : len(links)] = rows, links
         place, self.row = np.nonzero(np.arange(blocks.max())[:, None] < blocks)
-        self.place, self.at = place, at[self.row, place]
+        self.place, self.at, self.link = place, at[self.row, place], link[self.row, place]
         before = np.where(place[:, None] > 0, at[self.row, place - 1], -1)
         self.inner = self._lags(self.at[:, :, None], self.at[:, None, :])
         self.outer = self._lags(before[:, :, None], self.at[:, None, :])
+        # Stretches left out, from the longest: their series, and where the rows at their ends begin.
+        self.spans: list[np.ndarray] = []
+        left = np.zeros((3, 0), dtype=np.int64)
+        for q in range(int(self.link.max()), 0, -1):
+            own = np.flatnonzero(self.link == q)
+            left = np.concatenate([left, [self.row[own], before[own, 0], self.at[own, 0]]], axis=1)
+            self.spans.append(left)
+            middle = (left[1] + left[2]) // 2
+            left = np.concatenate([[left[0], left[1], middle], [left[0], middle, left[2]]], axis=1)
 
     def _lags(self, a: np.ndarray, b: np.ndarray) -> tuple:
         """Lag of the entries a and b (window if apart); for those near an end: where they are, and the bounds of their sum."""
@@ -77,7 +124,9 @@ class _Missing:
             lag, edge, stop, begin = getattr(self, name)
             stay = mine[edge[0]]
             setattr(self, name, (lag[mine], (spot[edge[0][stay]], edge[1][stay], edge[2][stay]), stop[stay], begin[stay]))
-        self.row, self.place, self.at, self.size = number[self.row[mine]], self.place[mine], self.at[mine], self.size[keep]
+        spans = [s[:, keep[s[0]]] for s in self.spans]
+        self.spans = [np.concatenate([number[s[:1]], s[1:]]) for s in spans]
+        self.row, self.place, self.at, self.link, self.size = number[self.row[mine]], self.place[mine], self.at[mine], self.link[mine], self.size[keep]
 
     def _band(self, sums: np.ndarray, lags: tuple) -> np.ndarray:
         lag, edge, stop, begin = lags
@@ -110,10 +159,33 @@ class _Missing:
                 out[:, :d] -= over[:, d:]
         return out
 
+    def _doubled(self, sums: np.ndarray, ridge: float) -> tuple[np.ndarray, list[tuple]]:
+        """The series with stretches left out, and for q = 0, 1, ... what a stretch of 2^q - 1 rows does.
+
+        That is: what it takes from the row before and the row behind it, how it
+        couples the two, and the matrices that give its middle row from the two
+        (for q = 0 there is none).
+        """
+        w, d = self.window, self.width
+        own = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *[s[0] for s in self.spans]]))
+        i = np.arange(d)
+        whole = np.append(sums[own, :, -1], np.zeros((len(own), 1)), axis=1)
+        plain = whole[:, np.abs(i[:, None] - i)] + ridge * np.eye(d)
+        couple = whole[:, np.minimum(d + i - i[:, None], w)]
+        before = behind = np.zeros_like(plain)
+        out = [(before, behind, couple, couple, couple)]
+        for _ in self.spans:
+            turned = couple.transpose(0, 2, 1)
+            got = np.linalg.solve(plain - before - behind, np.concatenate([turned, couple], axis=2))
+            back, ahead = got[:, :, :d], got[:, :, d:]
+            before, behind, couple = before + couple @ back, behind + turned @ ahead, -couple @ ahead
+            out.append((before, behind, couple, back, ahead))
+        return own, out
+
     def solve(self, trailing: np.ndarray, x: np.ndarray, ridge: float) -> np.ndarray:
         """x with the missing entries that leave least to the trailing projection (n, window, window).
 
-        ridge holds entries that nothing determines where they are.
+        ridge holds entries that nothing determines at the mean.
         """
         w = self.window
         sums = np.zeros((len(x), w, w + 1))
@@ -125,12 +197,25 @@ class _Missing:
         spot = (np.broadcast_to(self.row[:, None], self.at.shape)[there], self.at[there])
         fixed = x.copy()
         fixed[spot] = 0.0
+        for row, left, right_ in self.spans:
+            middle = (left + right_) // 2
+            fixed[row[:, None], middle[:, None] + np.arange(self.width)] = 0.0
         right = np.zeros(self.at.shape)
-        right[there] = ridge * x[spot] - self._times(trailing, sums, fixed)[spot]
+        right[there] = -self._times(trailing, sums, fixed)[spot]
         inner, outer = self._band(sums, self.inner), self._band(sums, self.outer)
         i = np.arange(self.width)
         inner[:, i, i] += np.where(there, ridge, 1.0)
         bounds = np.append(np.flatnonzero(np.diff(self.place, prepend=-1)), len(self.place))
+        own, doubled = self._doubled(sums, ridge)
+        far = np.flatnonzero(self.link > 0)
+        # The row before another one of a series stands at the same place among those of the place before.
+        near = bounds[self.place[far] - 1] + far - bounds[self.place[far]]
+        for q in np.unique(self.link[far]):
+            pick = self.link[far] == q
+            mine = np.searchsorted(own, self.row[far[pick]])
+            inner[near[pick]] -= doubled[q][0][mine]
+            inner[far[pick]] -= doubled[q][1][mine]
+            outer[far[pick]] = doubled[q][2][mine]
         ahead, got = np.zeros_like(outer), np.zeros(self.at.shape)
         steps = list(zip(bounds[:-1], bounds[1:], strict=True))
         for j, (lo, hi) in enumerate(steps):
@@ -150,6 +235,11 @@ class _Missing:
             got[lo : lo + k] -= (ahead[lo : lo + k] @ got[nxt:end, :, None])[:, :, 0]
         out = x.copy()
         out[spot] = got[there]
+        for k, (row, left, right_) in enumerate(self.spans):
+            mine = np.searchsorted(own, row)
+            *_, to_left, to_right = doubled[len(self.spans) - k]
+            at = lambda begin, row=row: (row[:, None], begin[:, None] + i)
+            out[at((left + right_) // 2)] = -(to_left[mine] @ out[at(left)][:, :, None] + to_right[mine] @ out[at(right_)][:, :, None])[:, :, 0]
         return out
 
 
@@ -181,29 +271,43 @@ def ssa_settle(
     todo = np.flatnonzero(missing.any(axis=1) & (size >= 2 * window)) if rank < window else np.zeros(0, dtype=int)
     if not todo.size:
         return out, settled
-    todo = todo[np.argsort(-missing[todo].sum(axis=1), kind="stable")]
     whole = size[todo, None]
     mean = np.where(inside[todo], out[todo], 0.0).sum(axis=1, keepdims=True) / whole
     x = np.where(inside[todo], out[todo] - mean, 0.0)
     scale = np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True) / whole), 1e-9)
     x /= scale
-    problem = _Missing(missing[todo], size[todo], window)
-    open_ = np.arange(len(todo))
+    nodes = [_nodes(missing[k, : size[k]], size[k], window - 1) for k in todo.tolist()]
     before = np.full(len(todo), np.inf)
-    for _ in range(rounds):
-        part = x[open_]
-        _, vectors = np.linalg.eigh(_gram(part, problem.size, window))
-        rest = vectors[:, :, :-rank]
-        x[open_] = new = problem.solve(rest @ rest.transpose(0, 2, 1), part, 1e-9)
-        moved = np.abs(new - part).max(axis=1)
-        pace = np.where(np.isinf(before), 1.0, moved / np.maximum(before, 1e-300))
-        more = moved > tolerance * np.clip(1 / np.maximum(pace, 1e-9) - 1, 1e-4, 1.0)
-        open_, before = open_[more], moved[more]
+
+    def advance(open_: np.ndarray, rounds: int) -> np.ndarray:
+        """Moves the series for some rounds; those that haven't settled then."""
         if not open_.size:
-            break
-        if not more.all():
-            problem.only(more)
-    settled[todo[open_]] = False
+            return open_
+        open_ = open_[np.argsort([-len(nodes[k][1]) for k in open_.tolist()], kind="stable")]
+        far = size[todo[open_]].max()
+        problem = _Missing([nodes[k] for k in open_.tolist()], size[todo[open_]], window)
+        for _ in range(rounds):
+            part = x[open_, :far]
+            _, vectors = np.linalg.eigh(_gram(part, problem.size, window))
+            rest = vectors[:, :, :-rank]
+            x[open_, :far] = new = problem.solve(rest @ rest.transpose(0, 2, 1), part, 1e-9)
+            moved = np.abs(new - part).max(axis=1)
+            pace = np.where(np.isinf(before[open_]), 1.0, moved / np.maximum(before[open_], 1e-300))
+            more = moved > tolerance * np.clip(1 / np.maximum(pace, 1e-9) - 1, 1e-4, 1.0)
+            before[open_] = moved
+            open_ = open_[more]
+            if not open_.size:
+                break
+            if not more.all():
+                problem.only(more)
+        return open_
+
+    # Most settle soon, among others of about their length; the few that don't go on together.
+    first = min(rounds, 12)
+    about = np.ceil(np.log2(size[todo]))
+    left = np.concatenate([advance(np.flatnonzero(about == a), first) for a in np.unique(about)])
+    left = advance(left, rounds - first)
+    settled[todo[left]] = False
     out[todo] = np.where(missing[todo], x * scale + mean, out[todo])
     return out, settled
 
@@ -252,11 +356,9 @@ def _stretches(slots: np.ndarray, values: np.ndarray, low: int, high: int, longe
             stop += 1
         base = int(slots[start])
         m = int(slots[stop]) - base + 1
-        m = -(-m // 64) * 64
         series, known = np.zeros(m), np.zeros(m, dtype=bool)
         at = slots[start : stop + 1] - base
         series[at], known[at] = values[start : stop + 1], True
-        known[at[-1] :], series[at[-1] :] = True, values[stop]
         members.append((series, known, base, b))
     return (slot, value, first, last, settled), members
 
@@ -311,7 +413,7 @@ def regular_grid(
     block: int = 1024,
     context: int = 64,
     limit: float = 16.0,
-    together: int = 64,
+    together: int = 1024,
 ) -> DataFrame:
     """Rows (key_col, sensor, slot, value, filled, gap_first, gap_last, settled) of a regular series per entity and sensor.
 
@@ -374,7 +476,7 @@ def regular_grid(
             for name, made in found(group):
                 waiting.append((group.column("key")[0], name, made))
                 blocks, rows = blocks + len(made[1]), rows + len(made[0][0])
-            if blocks >= together or rows >= 16 * chunk:
+            if blocks >= together or rows >= 64 * chunk:
                 yield from finish(waiting)
                 waiting, blocks, rows = [], 0, 0
         yield from finish(waiting)

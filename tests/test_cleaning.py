@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldtrace.operators.control import control_chart, flag_implausible
-from fieldtrace.operators.grid import filled_stretches, regular_grid, ssa_fill, ssa_settle
+from fieldtrace.operators.grid import _Missing, _nodes, filled_stretches, regular_grid, ssa_fill, ssa_settle
 from fieldtrace.operators.intervals import merge_intervals
 
 
@@ -114,6 +114,43 @@ def test_ssa_goes_on_through_gaps_longer_than_its_window(gap):
     assert not ssa_settle(np.where(known, noisy, 0)[None], known[None], rounds=1)[1].any()
 
 
+@pytest.mark.parametrize("gap", [20, 100])
+@pytest.mark.parametrize("waves", [(1.0, 0.0), (1.0, 0.6)])
+def test_ssa_beats_the_line_by_far(gap, waves):
+    t = np.arange(1088)
+    wave = waves[0] * np.sin(2 * np.pi * t / 40) + waves[1] * np.sin(2 * np.pi * t / 9)
+    known = np.ones(1088, dtype=bool)
+    known[500 : 500 + gap] = False
+    filled = ssa_fill(np.where(known, wave, 0)[None], known[None], rank=3 if not waves[1] else 5)[0]
+    line = np.interp(t, t[known], wave[known])
+    assert np.abs(filled - wave)[~known].mean() < 0.2 * np.abs(line - wave)[~known].mean()
+
+
+def test_stretches_left_out_change_nothing():
+    """The solution for the missing entries is that of the whole dense matrix, with long gaps too."""
+    rng = np.random.default_rng(0)
+    window, sizes = 12, np.array([700, 640, 90])
+    x, missing = np.zeros((3, 700)), np.zeros((3, 700), dtype=bool)
+    for k, (m, gaps) in enumerate(zip(sizes, [[(3, 4), (40, 45), (60, 60 + 11 * 37 + 5), (690, 698)], [(20, 20 + 11 * 8), (130, 133), (300, 629)], [(30, 35)]], strict=True)):
+        x[k, :m] = rng.normal(size=m)
+        for a, b in gaps:
+            missing[k, a:b] = True
+    nodes = [_nodes(missing[k, : sizes[k]], sizes[k], window - 1) for k in range(3)]
+    assert max(link.max() for _, link in nodes) >= 5
+    order = np.argsort([-len(link) for _, link in nodes], kind="stable")
+    vectors = np.linalg.qr(rng.normal(size=(3, window, window)))[0][:, :, 3:]
+    trailing = vectors @ vectors.transpose(0, 2, 1)
+    got = _Missing([nodes[k] for k in order], sizes[order], window).solve(trailing, x[order], 1e-9)
+    for row, k in enumerate(order):
+        form = np.zeros((sizes[k], sizes[k]))
+        for j in range(sizes[k] - window + 1):
+            form[j : j + window, j : j + window] += trailing[row]
+        gone, there = np.flatnonzero(missing[k, : sizes[k]]), np.flatnonzero(~missing[k, : sizes[k]])
+        want = np.linalg.solve(form[np.ix_(gone, gone)] + 1e-9 * np.eye(len(gone)), -form[np.ix_(gone, there)] @ x[k, there])
+        assert np.allclose(got[row, gone], want, atol=1e-7)
+        assert (got[row, there] == x[k, there]).all()
+
+
 def test_grid_fills_a_long_gap_and_says_that_it_settled(spark):
     slots = [s for s in range(900) if not 300 <= s < 350]
     got = grid(spark, [(s, "a", s, float(np.sin(2 * np.pi * s / 40)), None) for s in slots]).where("filled").collect()
