@@ -1,12 +1,16 @@
 """Text statistics of documents, and text types learned from them without labels.
 
 Each page is cut into cells (lines, and the columns of a line).  Built-in
-functions count words, letters, lower-case words, common words and numbers of a
-cell; sums over the cells give the statistics of the document.  Thresholds on
-the statistics are labelling functions that vote prose, other or nothing.  How
-far each is to be trusted is learned by expectation-maximization from how they
-agree, over the histogram of vote patterns, which has at most 3^m rows for m
-functions whatever the size of the corpus.  The posterior gives the text type.
+functions count words, letters, common words and numbers of a cell; sums over
+the cells give the statistics of the document.  Which words are common is learned
+from the corpus: short ones that a large part of a language's documents has.
+Thresholds on the statistics are labelling functions, one for each statistic, that
+vote prose, other or nothing.  How far each is to be trusted is learned by
+expectation-maximization from how they agree, over the histogram of vote
+patterns, which has at most 3^m rows for m functions whatever the size of the
+corpus.  Functions that err together are worth less than as many independent
+ones; their evidence is tempered by the correlation that is left within the
+types.  The posterior gives the text type.
 """
 
 from __future__ import annotations
@@ -19,16 +23,6 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-# Common function words of English, French and German.
-COMMON = (
-    "the a an and of to in at on by for from with that it is was be been had have has not were which there he she they we i his her "
-    "their its our no nor neither as but if when where who what so then than until after before since though being let this will "
-    "would could should must one some all over near or you do did said more seen them only till back can again "
-    "le la les l un une des du de d et en au aux il elle ne pas n que qui qu est fut sera par pour avec sur dans nous cette ce c plus y si "
-    "se ont été ou son sa ses mais sont seront car personne après sous devant "
-    "der die das den dem ein eine einer eines und ist sind wurde worden nicht mit für von vor bei zu auf aus an da daß dass es er sie "
-    "wir soll hat noch auch als wie nach ob mehr kann im werden obwohl wieder niemand herr hinter unter"
-).split()
 CELL = "[\\t\\r\\u000b\\f\\u0085\\u2028\\u2029]+| {3,}|(?<=\\.)—"
 
 
@@ -39,46 +33,73 @@ def _plain_letters() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
-def text_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _plain(text: Column) -> Column:
+    odd, plain = _plain_letters()
+    # Letters of four bytes are looked for only where they can be many.
+    return F.when(F.octet_length(text) > 1.1 * F.length(text), F.translate(text, odd, plain)).otherwise(text)
+
+
+def common_words(docs: DataFrame, *, text_col: str = "text", lang_col: str | None = "lang", share: float = 0.25, longest: int = 4, least: float = 0.01) -> list[str]:
+    """Words of 2 to ``longest`` letters that at least ``share`` of the documents of a language have, in lower case, sorted.
+
+    Over all documents with a text.  A language is the first two letters of
+    lang_col (NULL and an absent column are one of their own) if at least ``least``
+    of the documents have it, so there are at most 1 / least of them, each with
+    at most 1 / share words for every one that a document has on average.
+    """
+    lang = F.coalesce(F.lower(F.substring(F.trim(lang_col), 1, 2)), F.lit("")) if lang_col in docs.columns else F.lit("")
+    rows = docs.where(F.col(text_col).isNotNull()).select(lang.alias("lang"), F.lower(_plain(F.col(text_col))).alias("text"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    total = rows.count()
+    sizes = {r["lang"]: r["n"] for r in sizes.where(F.col("n") >= least * total).collect()}
+    if not sizes:
+        return []
+    # Words between blanks and the usual marks; what else is around a word makes it another one.
+    words = F.array_distinct(F.split("text", r"[\s.,;:!?\"“”()—-]+"))
+    short = F.filter(words, lambda w: F.length(w).between(2, longest))
+    found = rows.where(F.col("lang").isin(*sizes)).select("lang", F.explode(short).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    enough = F.lit(False)
+    for name, n in sizes.items():
+        enough = enough | ((F.col("lang") == name) & (F.col("n") >= max(share * n, 1)))
+    return sorted({r["word"] for r in found.where(enough & F.col("word").rlike(r"^\p{L}+$")).select("word").distinct().collect()})
+
+
+def text_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", common: list[str]) -> DataFrame:
     """One row for each document whose text is neither NULL nor blank: id_col and its statistics.
 
     n_chars (without blanks at the ends of cells), n_words, mean_word_len (letters),
-    symbol_ratio (what is neither letter nor blank), digit_words (share),
-    common_words (share), line_ends (share of cells that end in a punctuation
-    mark), misplaced (marks before a word, to words), and four shares
-    of the characters: in cells of mostly lower-case words (running), also with
-    common words (worded), also legible and without list marks (sentences), and
-    in cells that are mostly letters (lettered).
+    symbol_ratio (what is neither letter, digit nor blank), digit_words (share),
+    common_words (share of words in ``common``), line_ends (share of cells that
+    end in a punctuation mark), misplaced (marks before a word, to words),
+    turned (words that end in a capital after a small letter, to words; I is often
+    a misread l), mute_words (words of three or more letters without a vowel, to
+    words), and two shares of the characters: in cells of which every fifth word is common
+    (spoken), and in cells that begin like an item of a list or hold a row of
+    dots or bars (listed).
     """
-    odd, plain = _plain_letters()
-    given = F.col(text_col)
-    # Letters of four bytes are looked for only where they can be many.
-    text = F.when(F.octet_length(given) > 1.1 * F.length(given), F.translate(given, odd, plain)).otherwise(given)
-    line = F.col("line")
+    text, line = _plain(F.col(text_col)), F.col("line")
     mixed = F.lit(False)
     for mark in ("   ", "\t", ".—", "\r", "\x0b", "\f", "\x85", "\u2028", "\u2029"):
         mixed = mixed | line.contains(mark)
-    lines = docs.where(given.rlike(r"[^\s\x{A0}\x{2000}-\x{200A}\x{3000}]")).select(F.col(id_col).alias("_id"), F.explode(F.split(text, "\n")).alias("line"))
+    lines = docs.where(F.col(text_col).rlike(r"[^\s\x{A0}\x{2000}-\x{200A}\x{3000}]")).select(F.col(id_col).alias("_id"), F.explode(F.split(text, "\n")).alias("line"))
     cells = lines.select("_id", F.explode(F.when(mixed, F.split(line, CELL)).otherwise(F.array(line))).alias("cell"))
     cells = cells.select("_id", F.trim("cell").alias("cell")).where("cell <> ''")
-    cells = cells.select("_id", "cell", F.length("cell").alias("chars"), F.array_remove(F.split("cell", " "), "").alias("words"))
-    common = [x + mark for w in COMMON for x in (w, w.capitalize()) for mark in ("", ",", ".", ";")]
+    cells = cells.select("_id", "cell", F.length("cell").alias("chars"), F.array_remove(F.split(F.lower("cell"), " "), "").alias("words"))
+    known = [x + mark for x in common for mark in ("", ",", ".", ";")] or [""]
     cells = cells.select(
         "_id",
         "chars",
         F.size("words").alias("n"),
-        F.size(F.filter("words", lambda w: w.isin(*common))).alias("common"),
-        F.size(F.filter("words", lambda w: ((w >= "a") & (w < "{")) | ((w >= "ß") & (w < "\u0180")))).alias("lower"),
+        F.size(F.filter("words", lambda w: w.isin(*known))).alias("common"),
         F.regexp_count("cell", F.lit(r"\p{N}[^ ]*")).alias("digits"),
-        F.length(F.regexp_replace("cell", r"[\p{L} ]+", "")).alias("symbols"),
+        F.length(F.regexp_replace("cell", r"[\p{L}\p{N} ]+", "")).alias("symbols"),
+        F.length(F.regexp_replace("cell", r"\P{L}+", "")).alias("letters"),
         F.regexp_count("cell", F.lit(r" [.,;]\p{L}")).alias("misplaced"),
+        F.regexp_count("cell", F.lit(r"\p{Ll}[\p{Lu}&&[^I]](?!\p{L})")).alias("turned"),
+        F.regexp_count("cell", F.lit(r"(?i)(?<![^ ])[b-df-hj-np-tv-xz]{3,}(?![^ ])")).alias("mute"),
         F.right(F.col("cell"), F.lit(1)).isin(*".!?;:,").cast("int").alias("ends"),
-        F.col("cell").rlike(r"^(?:[*•·\-] |\p{L}{0,4} ?[\dlIO]{1,3}[.:·)])").alias("listed"),
-    ).withColumn("letters", F.greatest(F.lit(0), F.col("chars") - F.col("symbols") - F.col("n") + 1))
-    running = (F.col("lower") >= 0.45 * F.col("n")) & (F.col("n") > 0)
-    lettered = F.col("letters") >= 0.72 * (F.col("letters") + F.col("symbols"))
-    worded = running & (F.col("common") >= 0.12 * F.col("n"))
-    sentence = running & lettered & ~F.col("listed") & (F.col("digits") <= 0.3 * F.col("n"))
+        F.col("cell").rlike(r"^(?:[*•·\-|] |\p{L}{0,4} ?[\dlIO]{1,3}[.:·)])|[.·]{4}").alias("listed"),
+    )
     share = lambda c: F.sum(F.when(c, F.col("chars")).otherwise(0))
     sums = cells.groupBy("_id").agg(
         F.sum("chars").alias("n_chars"),
@@ -88,15 +109,13 @@ def text_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         F.sum("digits").alias("digits"),
         F.sum("common").alias("common"),
         F.sum("misplaced").alias("misplaced"),
+        F.sum("turned").alias("turned"),
+        F.sum("mute").alias("mute"),
         F.avg("ends").alias("line_ends"),
-        share(running).alias("running"),
-        share(worded).alias("worded"),
-        share(sentence).alias("sentences"),
-        share(lettered).alias("lettered"),
-        F.sum(F.when(sentence, F.col("common")).otherwise(0)).alias("sentence_common"),
-        F.sum(F.when(sentence, F.col("n")).otherwise(0)).alias("sentence_words"),
+        share((F.col("common") >= 0.2 * F.col("n")) & (F.col("n") > 0)).alias("spoken"),
+        share(F.col("listed")).alias("listed"),
     )
-    part = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
+    part = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)).alias(a)
     return sums.select(
         F.col("_id").alias(id_col),
         "n_chars",
@@ -106,51 +125,66 @@ def text_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         part("digits", "n_words").alias("digit_words"),
         part("common", "n_words").alias("common_words"),
         "line_ends",
-        part("misplaced", "n_words").alias("misplaced"),
-        part("running", "n_chars").alias("running"),
-        part("worded", "n_chars").alias("worded"),
-        part("sentences", "n_chars").alias("sentences"),
-        part("lettered", "n_chars").alias("lettered"),
-        part("sentence_common", "sentence_words").alias("sentence_common"),
+        part("misplaced", "n_words"),
+        part("turned", "n_words"),
+        part("mute", "n_words").alias("mute_words"),
+        part("spoken", "n_chars"),
+        part("listed", "n_chars"),
     )
 
 
-def _vote(prose: Column, other: Column) -> Column:
-    """1 for prose, 0 for other, 2 for no vote."""
-    return F.when(prose, 1).when(other, 0).otherwise(2)
+def labelling_functions() -> dict[str, Column]:
+    """Votes of the statistic thresholds: 1 for prose, 0 for other, 2 for none. No two read the same statistic."""
 
+    def vote(name: str, prose: tuple[float, float], other: tuple[float, float]) -> Column:
+        return F.when(F.col(name).between(*prose), 1).when(~F.col(name).between(*other), 0).otherwise(2)
 
-def labelling_functions() -> dict[str, Column]:
-    """Votes of the statistic thresholds."""
-    c = F.col
-    ordered = c("misplaced") < 0.04
-    spoken = c("sentence_common") >= 0.1
     return {
-        "sentences": _vote((c("sentences") >= 0.5) & ordered & spoken, (c("sentences") < 0.5) | ~ordered | ~spoken),
-        "running": _vote(c("running") >= 0.55, c("running") < 0.45),
-        "worded": _vote(c("worded") >= 0.4, c("worded") < 0.25),
-        "common": _vote(c("common_words") >= 0.25, c("common_words") < 0.13),
-        "numbers": _vote(c("digit_words") < 0.05, c("digit_words") >= 0.2),
-        "symbols": _vote(c("symbol_ratio") < 0.08, c("symbol_ratio") >= 0.18),
-        "order": _vote(F.lit(False), ~ordered),
-        "word_length": _vote(F.lit(False), (c("mean_word_len") < 2.3) | (c("mean_word_len") > 8)),
+        "spoken": vote("spoken", (0.55, 1.0), (0.45, 1.0)),
+        "numbers": vote("digit_words", (0.0, 0.05), (0.0, 0.2)),
+        "symbols": vote("symbol_ratio", (0.0, 0.08), (0.0, 0.18)),
+        "listed": vote("listed", (0.0, 0.1), (0.0, 0.4)),
+        "mute": vote("mute_words", (0.0, 0.05), (0.0, 0.15)),
+        "order": vote("misplaced", (0.0, 0.01), (0.0, 0.04)),
+        "capitals": vote("turned", (0.0, 0.01), (0.0, 0.03)),
+        "word_length": vote("mean_word_len", (3.0, 6.5), (2.3, 8.0)),
     }
 
 
-def learn_accuracies(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> tuple[float, np.ndarray]:
-    """Share of prose, and for every function the probability of each vote (0, 1, 2) given other and prose.
+def _correlation(weight: np.ndarray, coded: np.ndarray) -> float:
+    """Mean absolute correlation of the votes within a type, over pairs of functions and types by their weight."""
+    m = coded.shape[1]
+    if m < 2:
+        return 0.0
+    found = []
+    for w in weight.T:
+        off = coded - np.average(coded, axis=0, weights=w + 1e-12)
+        cov = (off * w[:, None]).T @ off
+        spread = np.sqrt(np.diag(cov))
+        rho = np.abs(cov) / np.maximum(np.outer(spread, spread), 1e-12)
+        found.append((rho.sum() - np.trace(rho)) / (m * (m - 1)))
+    return float(np.average(found, weights=weight.sum(axis=0) + 1e-12))
+
+
+def learn_accuracies(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> tuple[float, np.ndarray, float]:
+    """Share of prose, for every function the probability of each vote (0, 1, 2) given other and prose, and the temper.
 
     Expectation-maximization over distinct vote patterns and their counts; starts
     from the majority of the votes and stops when nothing moves.  Counts are
-    smoothed by one.  Without patterns the prior is one half.
+    smoothed by one.  The temper is what m functions that correlate by rho within
+    the learned types are worth, 1 / (1 + (m - 1) rho) of as many independent
+    ones; it scales the log odds of the posterior, so that functions that err
+    together don't claim more certainty than they have.  Without patterns the
+    prior is one half.
     """
     if not patterns:
-        return 0.5, np.zeros((0, 2, 3))
+        return 0.5, np.zeros((0, 2, 3)), 1.0
     votes = np.array([p for p, _ in patterns])
     count = np.array([n for _, n in patterns], dtype=float)
     ones, zeros = (votes == 1).sum(axis=1), (votes == 0).sum(axis=1)
     prose = np.clip((ones + 0.5) / (ones + zeros + 1), 0.05, 0.95)
     seen = np.stack([votes == v for v in range(3)], axis=2).astype(float)
+    coded = np.select([votes == 1, votes == 0], [1.0, -1.0], 0.0)
     prior, table = 0.5, np.zeros((votes.shape[1], 2, 3))
     for _ in range(rounds):
         weight = np.stack([count * (1 - prose), count * prose], axis=1)
@@ -162,24 +196,33 @@ def learn_accuracies(patterns: list[tuple[tuple[int, ...], int]], rounds: int =
         moved, prose = np.abs(new - prose).max(), new
         if moved < 1e-9:
             break
-    return float(prior), table
+    weight = np.stack([count * (1 - prose), count * prose], axis=1)
+    return float(prior), table, 1 / (1 + (votes.shape[1] - 1) * _correlation(weight, coded))
 
 
-def text_types(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def text_types(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", functions: dict[str, Column] | None = None) -> DataFrame:
     """text_statistics with p_prose (the posterior) and text_type (``prose`` or ``other``).
 
     NULL and blank texts have no statistics and no row; an empty table gives no
-    rows; other columns are ignored; a repeated id counts as one document.
+    rows; other columns are ignored; a repeated id counts as one document.  The
+    statistics are computed when the function is called, because the posteriors
+    depend on all of them.  functions replaces labelling_functions().
     """
-    functions = labelling_functions()
-    stats = cut_lineage(text_statistics(docs, id_col=id_col, text_col=text_col))
+    functions = labelling_functions() if functions is None else functions
+    common = common_words(docs, text_col=text_col, lang_col=lang_col)
+    stats = cut_lineage(text_statistics(docs, id_col=id_col, text_col=text_col, common=common))
+    return typed_by_votes(stats, functions)
+
+
+def typed_by_votes(stats: DataFrame, functions: dict[str, Column]) -> DataFrame:
+    """stats with p_prose and text_type as the votes of functions have it; stats is read when the function is called."""
     voted = stats.withColumns({f"vote_{k}": v for k, v in functions.items()})
     names = [f"vote_{k}" for k in functions]
     # At most 3^m rows.
     patterns = [(tuple(r[:-1]), r[-1]) for r in voted.groupBy(*names).agg(F.count("*").alias("n")).collect()]
-    prior, table = learn_accuracies(patterns)
-    odds = F.lit(float(np.log(prior / (1 - prior))))
+    prior, table, temper = learn_accuracies(patterns)
+    odds = F.lit(float(temper * np.log(prior / (1 - prior))))
     for name, (other, prose) in zip(names, table, strict=False):
-        odds = odds + F.element_at(F.array(*(F.lit(float(x)) for x in np.log(prose / other))), F.col(name) + 1)
+        odds = odds + F.element_at(F.array(*(F.lit(float(x)) for x in temper * np.log(prose / other))), F.col(name) + 1)
     voted = voted.withColumn("p_prose", 1 / (1 + F.exp(-odds)))
     return voted.withColumn("text_type", F.when(F.col("p_prose") >= 0.5, "prose").otherwise("other")).drop(*names)

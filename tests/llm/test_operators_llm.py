@@ -284,10 +284,26 @@ def test_types_without_labels(spark):
     assert Q.text_types(df.limit(0)).count() == 0
 
 
+def test_sentences_in_capitals_are_prose(spark):
+    texts = [PROSE] * 20 + [PROSE.upper()] * 3 + [TABLE, NAMES, GARBLED] * 4
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    assert {r.doc_id for r in Q.text_types(df).where("text_type = 'other'").collect()} == set(range(23, 35))
+
+
+def test_common_words_of_each_language(spark):
+    rows = [("en", "the man and the sea")] * 50 + [("FR", "la mer, et la nuit")] * 10 + [(None, "xx yy")] * 3 + [("de", "der Mond")] + [("en", None), ("fr", "")]
+    df = spark.createDataFrame(rows, "lang STRING, text STRING")
+    assert Q.common_words(df, share=0.5, least=0.03) == ["and", "et", "la", "man", "mer", "nuit", "sea", "the", "xx", "yy"]
+    assert Q.common_words(df, share=0.5, least=0.03, longest=2) == ["et", "la", "xx", "yy"]
+    assert Q.common_words(df.drop("lang"), share=0.5) == ["and", "man", "sea", "the"]
+    assert Q.common_words(df.limit(0)) == []
+
+
 def test_a_very_long_text(spark):
     df = spark.createDataFrame([(1, PROSE * 2000), (2, TABLE), (2, TABLE)], "doc_id BIGINT, text STRING")
-    got = {r.doc_id: r for r in Q.text_statistics(df).collect()}
-    assert got[1].sentences > 0.9 and got[2].sentences == 0.0
+    got = {r.doc_id: r for r in Q.text_statistics(df, common=["the", "that", "it", "to", "and", "been", "who", "no", "of", "would"]).collect()}
+    assert got[1].spoken > 0.9 and got[2].spoken == 0.0 and got[2].digit_words == 1.0
+    assert Q.text_statistics(df, common=[]).where("spoken > 0").count() == 0
 
 
 def test_em_finds_the_better_function():
@@ -295,7 +311,17 @@ def test_em_finds_the_better_function():
     truth = rng.random(4000) < 0.6
     votes = np.stack([np.where(rng.random(4000) < a, truth, ~truth) for a in (0.95, 0.9, 0.85, 0.6)], axis=1).astype(int)
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
-    prior, table = Q.learn_accuracies([(tuple(p), int(n)) for p, n in zip(patterns.tolist(), counts, strict=True)])
+    prior, table, temper = Q.learn_accuracies([(tuple(p), int(n)) for p, n in zip(patterns.tolist(), counts, strict=True)])
     assert abs(prior - 0.6) < 0.05
     assert np.abs(table[:, 1, 1] - [0.95, 0.9, 0.85, 0.6]).max() < 0.05
+    assert temper > 0.8
     assert Q.learn_accuracies([])[0] == 0.5
+
+
+def test_functions_that_err_together_count_less():
+    rng = np.random.default_rng(0)
+    truth = rng.random(4000) < 0.5
+    first = np.where(rng.random(4000) < 0.8, truth, ~truth)
+    same = np.stack([first] * 3 + [np.where(rng.random(4000) < 0.9, truth, ~truth)] * 2, axis=1).astype(int)
+    patterns, counts = np.unique(same, axis=0, return_counts=True)
+    assert Q.learn_accuracies([(tuple(p), int(n)) for p, n in zip(patterns.tolist(), counts, strict=True)])[2] < 0.8
