@@ -251,6 +251,11 @@ def per_k(fits: DataFrame, metrics: list[str], by: list[str] | None = None) -> D
     return got.select(*by, "n_fits", *[F.col(f"q_{m}")[i].alias(f"{m}{end}") for m in metrics for i, end in ((1, ""), (0, "_low"), (2, "_high"))])
 
 
+def median_count(fits: DataFrame, by: list[str]) -> DataFrame:
+    """The median number of fits of a group. One row."""
+    return fits.groupBy(*by).agg(F.count("*").alias("n")).agg(F.median("n").alias("median"))
+
+
 def selection_summary(ks: DataFrame, parts: dict[str, DataFrame | None]) -> DataFrame:
     """Per k the median and band of every metric; NULL columns for a metric without a frame."""
     out = ks.select("k").distinct()

@@ -28,7 +28,7 @@ def control_chart(values: np.ndarray, centre: float, scale: float, *, weight: fl
 
     The series is followed in stretches of STRIDE readings side by side, each
     after a run-in over the STRIDE readings before it; with this weight what
-    lies further back counts less than a thousandth.  The first stretch starts
+    lies further back counts about a thousandth.  The first stretch starts
     from the source's centre, the others from the median of their run-in.
     """
     n = len(values)
@@ -86,8 +86,8 @@ def _chunk_rows(fields: list[tuple[float, float]], stuck: int, resolution: float
             nothing = np.zeros(n, dtype=np.int64)
             kinds = (
                 ("stuck", inner & long, ids, values, nothing),
-                ("suspect", inner & ~long & possible & suspect, ids, values, nothing),
-                ("edge", border, ids, values, where * 4 + possible * 2 + suspect),
+                ("suspect", inner & ~long & possible & suspect, ids, values, np.arange(n)),
+                ("edge", border, ids, values, np.arange(n) * 8 + where * 4 + possible * 2 + suspect),
             )
             for kind, mask, a, b, c in kinds:
                 if mask.any():
@@ -120,6 +120,7 @@ def flag_implausible(
     chunk: int,
     stuck: int = 12,
     factor: float = 2.0,
+    brief: int = 3,
     resolution: float = 0.001,
 ) -> DataFrame:
     """Rows (id BIGINT, field STRING, reason STRING) of the faulty readings, distinct.
@@ -129,7 +130,9 @@ def flag_implausible(
     or more readings of a source in succession with exactly the same value) or
     ``spike`` (more than ``factor`` times as far from the source's median as any
     of its ordinary readings; no ordinary reading is a suspect beyond that, an
-    impossible or a stuck one).  Readings are ordered by ``order`` (BIGINT), id;
+    impossible or a stuck one).  At most ``brief`` suspects in succession can be a
+    spike; more of them are ordinary, and the rest is held against them too
+    (successions that cross a chunk border count on either side of it).  Readings are ordered by ``order`` (BIGINT), id;
     those with a NULL key, order or id, or a NULL or NaN value, are passed over.
     Each id counts once; other columns are ignored; an empty table gives no rows.
     The median is taken over values rounded to ``resolution``, which bounds its
@@ -139,7 +142,7 @@ def flag_implausible(
     value = [F.col(c).cast("double") for c in names]
     given = readings.select(F.col(id_col).alias("id"), F.col(key_col).alias("key"), order.alias("ord"), *[F.when(~F.isnan(v), v).alias(f"v{k}") for k, v in enumerate(value)])
     limits = [fields[c] for c in names]
-    possible = [F.when(F.col(f"v{k}").between(*limits[k]), F.round(f"v{k}", 3)) for k in range(len(names))]
+    possible = [F.when(F.col(f"v{k}").between(*limits[k]), F.round(F.col(f"v{k}") / resolution) * resolution) for k in range(len(names))]
 
     beyond = F.array_compact(
         F.array(*[F.when(~F.col(f"v{k}").between(*limits[k]), F.struct(F.lit(k).alias("field"))) for k in range(len(names))])
@@ -159,7 +162,7 @@ def flag_implausible(
     seen = cut_lineage(seen)
 
     # Runs at chunk borders, joined with their neighbours.
-    edge = seen.where("kind = 'edge'").select("key", "field", "chunk", "id", "value", F.expr("extra DIV 4").alias("side"), F.expr("(extra & 2) > 0").alias("possible"), F.expr("(extra & 1) > 0").alias("suspect"))
+    edge = seen.where("kind = 'edge'").select("key", "field", "chunk", "id", "value", F.expr("extra DIV 8").alias("place"), F.expr("(extra DIV 4) % 2").alias("side"), F.expr("(extra & 2) > 0").alias("possible"), F.expr("(extra & 1) > 0").alias("suspect"))
     runs = edge.groupBy("key", "field", "chunk", "side").agg(F.first("value").alias("value"), F.count("*").alias("n"))
     along = Window.partitionBy("key", "field").orderBy("chunk", "side")
     goes_on = (F.col("value") == F.lag("value").over(along)) & (F.col("chunk") != F.lag("chunk").over(along))
@@ -178,13 +181,25 @@ def flag_implausible(
     base = medians.join(bounds, ["key", "field"], "left").select(
         "key", "field", "median", F.coalesce(F.greatest(F.col("high") - F.col("median"), F.col("median") - F.col("low")), F.lit(0.0)).alias("known")
     )
-    suspects = seen.where("kind = 'suspect'").select("key", "field", "id", "value").union(free.where("suspect").select("key", "field", "id", "value"))
-    suspects = suspects.join(F.broadcast(base) if few else base, ["key", "field"]).withColumn("far", F.abs(F.col("value") - F.col("median")))
-    octaves = suspects.where("far > 0").groupBy("key", "field", F.floor(F.log2("far")).alias("octave")).agg(F.min("far").alias("near"), F.max("far").alias("far"), F.max("known").alias("known"))
-    upward = Window.partitionBy("key", "field").orderBy("octave").rowsBetween(Window.unboundedPreceding, -1)
-    octaves = octaves.withColumn("inside", F.greatest("known", F.max("far").over(upward)))
-    steps = octaves.where((F.col("inside") > 0) & (F.col("near") > factor * F.col("inside"))).groupBy("key", "field").agg(F.min("near").alias("least"))
-    spikes = suspects.join(F.broadcast(steps) if few else steps, ["key", "field"]).where("far >= least").select("id", "field")
+    fields_of = ("key", "field", "chunk", "id", "value")
+    suspects = seen.where("kind = 'suspect'").select(*fields_of, F.col("extra").alias("place")).union(free.where("suspect").select(*fields_of, "place"))
+    small = lambda df: F.broadcast(df) if few else df
+
+    def beyond_ordinary(base: DataFrame) -> DataFrame:
+        """Suspects behind the first gap outside the ordinary range."""
+        far = suspects.join(small(base), ["key", "field"]).withColumn("far", F.abs(F.col("value") - F.col("median")))
+        octaves = far.where("far > 0").groupBy("key", "field", F.floor(F.log2("far")).alias("octave")).agg(F.min("far").alias("near"), F.max("far").alias("far"), F.max("known").alias("known"))
+        upward = Window.partitionBy("key", "field").orderBy("octave").rowsBetween(Window.unboundedPreceding, -1)
+        octaves = octaves.withColumn("inside", F.greatest("known", F.max("far").over(upward)))
+        steps = octaves.where((F.col("inside") > 0) & (F.col("near") > factor * F.col("inside"))).groupBy("key", "field").agg(F.min("near").alias("least"))
+        return far.join(small(steps), ["key", "field"]).where("far >= least")
+
+    first = beyond_ordinary(base)
+    run = F.col("place") - F.row_number().over(Window.partitionBy("key", "field", "chunk").orderBy("place"))
+    lasting = first.withColumn("run", run).groupBy("key", "field", "chunk", "run").agg(F.count("*").alias("n"), F.max("far").alias("far")).where(F.col("n") > brief)
+    lasting = lasting.groupBy("key", "field").agg(F.max("far").alias("lasting"))
+    base = base.join(lasting, ["key", "field"], "left").withColumn("known", F.greatest("known", F.coalesce("lasting", F.lit(0.0)))).drop("lasting")
+    spikes = beyond_ordinary(base).select("id", "field")
 
     found = impossible.union(frozen.withColumn("reason", F.lit("stuck"))).union(spikes.withColumn("reason", F.lit("spike"))).distinct()
     return found.select("id", F.element_at(F.array(*map(F.lit, names)), F.col("field") + 1).alias("field"), "reason")

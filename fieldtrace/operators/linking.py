@@ -42,6 +42,12 @@ def highest(df: DataFrame, by: list[str], value: str, tie: list[str]) -> DataFra
     return df.withColumn("_at", F.row_number().over(w)).where("_at = 1").drop("_at")
 
 
+def with_existing_files(df: DataFrame, path_col: str, folder: str) -> DataFrame:
+    """Rows whose path is that of a file below folder."""
+    files = df.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.regexp_replace("path", "^file:/+", "/").alias("_path"))
+    return df.join(files, F.regexp_replace(path_col, "^file:/+", "/") == F.col("_path"), "left_semi")
+
+
 def animal_of_name(name) -> F.Column:
     """R and D parts of a file name such as R2_D9_00001.mp4, as R2D9; NULL if either is missing."""
     parts = F.split(F.element_at(F.split(name, "/"), -1), "[_.]")

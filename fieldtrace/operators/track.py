@@ -190,16 +190,22 @@ def find_drops(signal: np.ndarray, prominence: float, distance: int) -> np.ndarr
             keep[near[0] : near[1]] = False
             keep[k] = True
     peaks = peaks[keep]
-    out = []
-    for p in peaks:
-        higher = np.flatnonzero(signal > signal[p])
-        left = higher[higher < p]
-        right = higher[higher > p]
-        lo, hi = (left[-1] if len(left) else 0), (right[0] if len(right) else n - 1)
-        base = max(signal[lo : p + 1].min(), signal[p : hi + 1].min())
-        if signal[p] - base >= prominence:
-            out.append(p)
-    return np.array(out, dtype=np.int64)
+    base = np.maximum(_lowest_before(signal), _lowest_before(signal[::-1])[::-1])
+    return peaks[signal[peaks] - base[peaks] >= prominence].astype(np.int64)
+
+
+def _lowest_before(signal: np.ndarray) -> np.ndarray:
+    """For each value the lowest one between the last higher value (or the start) and it, in one pass over a falling stack."""
+    out = np.empty(len(signal))
+    stack: list[tuple[float, float]] = []
+    for k, v in enumerate(signal.tolist()):
+        least = v
+        while stack and stack[-1][0] <= v:
+            least = min(least, stack.pop()[1])
+        # What is left on the stack is higher; from it on the value sees.
+        out[k] = least
+        stack.append((v, least))
+    return out
 
 
 def recordings(df: DataFrame, *, keys: list[str], order: list[str], time_us: str, gap_us: int) -> DataFrame:

@@ -7,6 +7,6 @@ from types import ModuleType
 
 def registered() -> list[ModuleType]:
     """The modules with queries() and oracle_sql()."""
-    from . import analysis, cleaning, sequences, signals
+    from . import analysis, cleaning, sequences, signals, storage
 
-    return [cleaning, sequences, signals, analysis]
+    return [cleaning, sequences, signals, analysis, storage]

@@ -176,7 +176,7 @@ def m10_super_prototypes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def w20_benjamini_hochberg(spark: SparkSession, folder: str) -> DataFrame:
-    """q of triplets whose p is taken as the share of the other bouts' triplets."""
+    """q of triplets whose p is taken as 1 / (1 + their number)."""
     seen = N.with_codes(S.ngrams(_runs(spark, folder), ["bout"], 3), 3, N_STATES).withColumn("p", 1 / (1 + F.col("n")))
     return rounded(N.benjamini_hochberg(seen, "p", "code").select("code", "p", "q"), 8)
 
@@ -255,12 +255,21 @@ def j4_speed_by_state(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(got.agg(F.count("*").alias("n"), F.avg("abs_speed_mPs").alias("mean_speed")))
 
 
-def j5_frames(spark: SparkSession, folder: str) -> DataFrame:
+def _animals(spark: SparkSession, folder: str) -> DataFrame:
+    """deer_info, a small fixed table, with the numbers by which clips name an animal; to be broadcast."""
+    number = lambda c: F.regexp_extract(c, "([0-9]+)", 1).cast("int")
     info = table(spark, folder, "deer_info")
-    rep = lambda c: F.regexp_extract(c, "([0-9]+)", 1).cast("int")
-    info = info.select("deer_id", rep("repetition_number").alias("repetition"), rep("deer_number").alias("deer"))
-    clips = table(spark, folder, "video_observation_reference").join(F.broadcast(info), ["repetition", "deer"]).select(F.col("id").alias("clip_id"), F.col("deer_id").alias("animal"), wall_us("start_time").alias("start_us"), wall_us("stop_time").alias("stop_us")).distinct()
-    return J.frames_of_readings(readings(spark, folder).select("data_id", F.col("deer_id").alias("animal"), "us"), clips)
+    return F.broadcast(info.select("deer_id", number("repetition_number").alias("repetition"), number("deer_number").alias("deer")))
+
+
+def j5_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """Frames of readings. Clips and recordings of these tables are of other days, so each animal's clips are moved to begin with its recordings."""
+    clips = table(spark, folder, "video_observation_reference").join(_animals(spark, folder), ["repetition", "deer"]).select(F.col("id").alias("clip_id"), F.col("deer_id").alias("animal"), wall_us("start_time").alias("start_us"), wall_us("stop_time").alias("stop_us")).distinct()
+    timed = readings(spark, folder).select("data_id", F.col("deer_id").alias("animal"), "us")
+    begin = timed.groupBy("animal").agg(F.min("us").alias("first_us")).join(clips.groupBy("animal").agg(F.min("start_us").alias("first_clip")), "animal")
+    by = F.col("first_us") - F.col("first_clip")
+    clips = clips.join(begin, "animal").select("clip_id", "animal", (F.col("start_us") + by).alias("start_us"), (F.col("stop_us") + by).alias("stop_us"))
+    return J.frames_of_readings(timed, clips)
 
 
 def j6_positional(spark: SparkSession, folder: str) -> DataFrame:
@@ -279,9 +288,10 @@ def j7_features(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def j10_full_outer(spark: SparkSession, folder: str) -> DataFrame:
-    """Readings and fixes per animal, either missing."""
+    """Readings and clips per animal, either missing."""
     a = readings(spark, folder).groupBy("deer_id").agg(F.count("*").alias("readings"))
-    b = table(spark, folder, "video_observation_reference").where("deer IS NOT NULL").groupBy(F.col("deer").cast("bigint").alias("deer_id")).agg(F.countDistinct("id").alias("clips"))
+    clips = table(spark, folder, "video_observation_reference").join(_animals(spark, folder), ["repetition", "deer"])
+    b = clips.groupBy("deer_id").agg(F.countDistinct("id").alias("clips"))
     return a.join(b, "deer_id", "full")
 
 
@@ -298,7 +308,7 @@ def anti_animals_unknown(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def u3_override(spark: SparkSession, folder: str) -> DataFrame:
-    """Speed limits per animal from fixes, replaced where readings are stronger than ten thousand rows."""
+    """Rows per animal: of its fixes, replaced by those of its readings with the head forward where these are more than a hundred."""
     base = fixes(spark, folder).groupBy("deer_id").agg(F.count("*").alias("n")).withColumn("source", F.lit("fixes"))
     newer = readings(spark, folder).where("X_head > 0").groupBy("deer_id").agg(F.count("*").alias("n")).where("n > 100").withColumn("source", F.lit("readings"))
     return J.override(base, newer, ["deer_id"])
@@ -366,6 +376,8 @@ def oracle_sql() -> dict[str, str]:
         "a1_cluster_shares": f"WITH {_NEAR} SELECT deer_id, b.k AS cluster, count(*) AS n FROM ne GROUP BY 1, 2",
         "f13_q_format": f"WITH {_R} SELECT data_id, CAST({_Q('x_head')} AS INTEGER) AS q, round({_Q('x_head')} / 4096.0, 6) AS decoded FROM rd WHERE x_head IS NOT NULL",
         "m16_fixed_point_clusters": f"WITH {_R} SELECT data_id, {_BEST_Q}.k AS cluster_q FROM rd WHERE {_WHOLE}",
+        "m15_round_trip": f"""WITH {_R}, e AS (SELECT {_BEST}.k AS a, {_BEST_Q}.k AS b FROM rd WHERE {" AND ".join(f"abs({c.lower()}) <= 7.99" for c in AXES)}),
+v(v) AS (VALUES {", ".join(f"({x!r})" for c in CENTRES for x in c)}) SELECT avg(CAST(a <> b AS DOUBLE)) AS mismatch, (SELECT max(abs(v - round_even(v * 4096, 0) / 4096)) FROM (SELECT CAST(v AS DOUBLE) AS v FROM v)) AS largest_error, count(*) AS n FROM e""",
         "a21_calinski_harabasz": f"""WITH {_PT}, pc AS (SELECT label, count(*) AS n, {", ".join(f"avg({d}) AS m_{d}, var_pop({d}) AS v_{d}" for d in DIMS)} FROM pt GROUP BY label),
 t AS (SELECT count(*) AS k, CAST(sum(n) AS BIGINT) AS n_all, sum({"+".join(f"n * v_{d}" for d in DIMS)}) AS w, sum({terms}) AS ss, {", ".join(f"sum(n * m_{d}) AS s_{d}" for d in DIMS)} FROM pc)
 SELECT k, n_all AS n, round(((ss - ({"+".join(f"s_{d} * s_{d} / n_all" for d in DIMS)})) / (k - 1)) / (w / (n_all - k)), 4) AS ch FROM t""",
@@ -394,7 +406,9 @@ SELECT k, n_total, n AS n_evaluable, s AS n_agree, round(coalesce(p, 0), 6) AS a
         "j2_left": "SELECT c_custkey, count(o_orderkey) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1",
         "j3_animal": f"WITH {_R} SELECT deer_id, repetition_number, deer_number, count(*) AS n FROM rd JOIN deer_info USING (deer_id) WHERE deer_number = 'D1' GROUP BY ALL",
         "j4_speed_by_state": f"WITH {_FX}, {EXPORTED_SQL} SELECT label, count(*) AS n, round(avg(sp), 6) AS mean_speed FROM fx JOIN eb ON bout_id = data_id WHERE sp BETWEEN 0 AND 25 GROUP BY 1",
-        "j5_frames": f"""WITH {_R}, cl AS (SELECT DISTINCT id, deer_id, epoch_us(start_time) AS a, epoch_us(stop_time) AS b FROM video_observation_reference v JOIN deer_info d ON d.repetition_number = 'R' || v.repetition AND d.deer_number = 'D' || v.deer),
+        "j5_frames": f"""WITH {_R}, c0 AS (SELECT DISTINCT id, deer_id, epoch_us(start_time) AS a, epoch_us(stop_time) AS b FROM video_observation_reference v JOIN deer_info d ON d.repetition_number = 'R' || v.repetition AND d.deer_number = 'D' || v.deer),
+sh AS (SELECT deer_id, (SELECT min(us) FROM rd WHERE rd.deer_id = c0.deer_id) - min(a) AS moved FROM c0 GROUP BY deer_id),
+cl AS (SELECT id, deer_id, a + moved AS a, b + moved AS b FROM c0 JOIN sh USING (deer_id) WHERE a <= b),
 m AS (SELECT data_id, min(struct_pack(id := id, a := a, us := us)) AS m FROM rd JOIN cl ON cl.deer_id = rd.deer_id AND us BETWEEN a AND b GROUP BY data_id)
 SELECT data_id, m.id AS clip_id, CAST(floor((m.us - m.a) / 1e6 * 30) AS BIGINT) AS frame FROM m""",
         "j6_positional": f"""WITH {_FX}, {EXPORTED_SQL}, a AS (SELECT deer_id, data_id, row_number() OVER (PARTITION BY deer_id ORDER BY data_id) - 1 AS seq FROM fx),
@@ -402,7 +416,7 @@ b AS (SELECT animal_id AS deer_id, label, row_number() OVER (PARTITION BY animal
         "j7_features": f"""WITH {_R}, {_FX}, a AS (SELECT deer_id, data_id AS reading_id, x_head, row_number() OVER (PARTITION BY deer_id ORDER BY us, data_id) AS seq FROM rd),
 b AS (SELECT deer_id, data_id, sp AS speed, row_number() OVER (PARTITION BY deer_id ORDER BY data_id) AS seq FROM fx)
 SELECT reading_id, data_id, x_head, speed FROM a JOIN b USING (deer_id, seq) WHERE x_head IS NOT NULL AND speed IS NOT NULL""",
-        "j10_full_outer": f"WITH {_R}, a AS (SELECT deer_id, count(*) AS readings FROM rd GROUP BY 1), b AS (SELECT CAST(deer AS BIGINT) AS deer_id, count(DISTINCT id) AS clips FROM video_observation_reference WHERE deer IS NOT NULL GROUP BY 1) SELECT deer_id, readings, clips FROM a FULL JOIN b USING (deer_id)",
+        "j10_full_outer": f"WITH {_R}, a AS (SELECT deer_id, count(*) AS readings FROM rd GROUP BY 1), b AS (SELECT deer_id, count(DISTINCT id) AS clips FROM video_observation_reference v JOIN deer_info d ON d.repetition_number = 'R' || v.repetition AND d.deer_number = 'D' || v.deer GROUP BY 1) SELECT deer_id, readings, clips FROM a FULL JOIN b USING (deer_id)",
         "semi_animals_filmed": "SELECT DISTINCT register_id, video_id FROM behaviour_register WHERE video_id IN (SELECT id FROM video_observation_reference)",
         "anti_animals_unknown": f"WITH {_R}, {_FX} SELECT data_id, deer_id FROM fx WHERE data_id NOT IN (SELECT data_id FROM rd WHERE data_id IS NOT NULL)",
         "u3_override": f"WITH {_R}, {_FX}, n AS (SELECT deer_id, count(*) AS n, 'readings' AS source FROM rd WHERE x_head > 0 GROUP BY 1 HAVING count(*) > 100) SELECT deer_id, count(*) AS n, 'fixes' AS source FROM fx WHERE deer_id NOT IN (SELECT deer_id FROM n) GROUP BY 1 UNION ALL SELECT * FROM n",
@@ -415,5 +429,5 @@ SELECT nullif(name, '') AS name, count(*) AS n, count(*) FILTER (name = columns)
 
 
 def queries() -> dict[str, Query]:
-    extra = (m15_round_trip, m3_sweep, m4_instabilities, m12_inertia_of_fits, a23_per_k, m6_kneedle, m13_selection_summary, t2_best_fits, t3_most_stable_fits, j9_fits_with_inertia, s14_uniform_points, s15_box_vectors, m14_stability_null, m7_first_order_null, m7b_marginal_null, m10_super_prototypes)
+    extra = (m3_sweep, m4_instabilities, m12_inertia_of_fits, a23_per_k, m6_kneedle, m13_selection_summary, t2_best_fits, t3_most_stable_fits, j9_fits_with_inertia, s14_uniform_points, s15_box_vectors, m14_stability_null, m7_first_order_null, m7b_marginal_null, m10_super_prototypes)
     return {k: globals()[k] for k in oracle_sql()} | {f.__name__: f for f in extra}

@@ -45,7 +45,7 @@ def a18_max_abs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def proj3_max_abs_scaled(spark: SparkSession, folder: str) -> DataFrame:
-    """Scaled order lines, summed by ship mode flags to be compared."""
+    """Means of order lines scaled by their largest values, by return flag and line status."""
     df = X.scale_max_abs(table(spark, folder, "lineitem").select("l_returnflag", "l_linestatus", *ITEM), ITEM)
     return rounded(df.groupBy("l_returnflag", "l_linestatus").agg(*[F.avg(c).alias(c) for c in ITEM]))
 
@@ -133,7 +133,7 @@ def w7_straightness_metres(spark: SparkSession, folder: str) -> DataFrame:
 
 def w8_straightness_great_circle(spark: SparkSession, folder: str) -> DataFrame:
     df = G.straightness_and_speed(_positions(spark, folder), keys=["deer_id"], order=["data_id"], a="pos_WGS84_lat", b="pos_WGS84_lon", dt_seconds=2.0, distance=G.great_circle_m)
-    return rounded(df.select("data_id", "speed"), 4)
+    return rounded(df.select("data_id", "straightness", "speed"), 4)
 
 
 def w9_interpolated(spark: SparkSession, folder: str) -> DataFrame:
@@ -163,11 +163,11 @@ def w13_inclusive_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 def w14_gaussian_smooth(spark: SparkSession, folder: str) -> DataFrame:
     df = G.interpolate(fixes(spark, folder), keys=["deer_id"], order=["data_id"], col="pos_NZMG_x_meter")
-    return rounded(G.gaussian_smooth(df, keys=["deer_id"], order=["data_id"], id_col="data_id", col="pos_NZMG_x_meter", sigma=5.0), 4)
+    return rounded(G.gaussian_smooth(df, keys=["deer_id"], order=["data_id"], id_col="data_id", col="pos_NZMG_x_meter"), 3)
 
 
 def f9_step_distance(spark: SparkSession, folder: str) -> DataFrame:
-    """Great-circle metres of each animal's first fix to every later one's latitude and longitude."""
+    """Great-circle metres from each animal's first fix to every one of its fixes."""
     df = _positions(spark, folder)
     first = df.groupBy("deer_id").agg(F.min(F.struct("data_id", F.col("pos_WGS84_lat").alias("lat"), F.col("pos_WGS84_lon").alias("lon"))).alias("f"))
     far = G.great_circle_m(F.col("f.lat"), F.col("f.lon"), F.col("pos_WGS84_lat"), F.col("pos_WGS84_lon"))
@@ -258,6 +258,32 @@ kn AS (SELECT *, last_value(CASE WHEN {c} IS NOT NULL THEN seq END IGNORE NULLS)
 _Z = lambda c, over, dev: f"round(({c} - avg({c}) OVER ({over})) / {dev}({c}) OVER ({over}), 5)"
 
 
+def _gc(a: str, b: str, c: str, d: str) -> str:
+    h = f"sin(radians({c} - {a}) / 2) ** 2 + cos(radians({a})) * cos(radians({c})) * sin(radians({d} - {b}) / 2) ** 2"
+    return f"2 * 6378137.0 * atan2(sqrt({h}), sqrt(1 - ({h})))"
+
+
+def _grid_sql() -> str:
+    """The map grid of positions by the published series, step by step."""
+    e_new, e_old = 0.0066943799901413165, 2 / 297.0 - (1 / 297.0) ** 2
+    b_old = 6378388.0 * (1 - 1 / 297.0)
+    psi = "0"
+    for c in (0.00034, -0.00067, 0.001333, -0.0026906, 0.0055161, -0.0117879, 0.02526853, -0.063294409, 0.1358797613, -0.6399175073):
+        psi = f"({psi} + ({-c})) * step"
+    steps = ""
+    series = ((-0.6870983, -1.1651967), (-0.26623489, -0.36249218), (-0.10162907, 0.01727609), (-0.001541739, 0.041058560), (0.249204646, 0.003371507), (0.7557853228, 0.0))
+    for k, (re, im) in enumerate(series):
+        before = ("0.0", "0.0", "h") if k == 0 else ("r", "i", f"s{k - 1}")
+        steps += f", s{k} AS (SELECT data_id, a, o, ({before[0]} + ({re})) * a - ({before[1]} + ({im})) * o AS r, ({before[0]} + ({re})) * o + ({before[1]} + ({im})) * a AS i FROM {before[2]})"
+    return f"""{_F}, b AS (SELECT data_id, radians(lat) AS phi, radians(lon) AS lam, 6378137.0 / sqrt(1 - {e_new!r} * sin(radians(lat)) ** 2) AS n FROM fx),
+c AS (SELECT data_id, n * cos(phi) * cos(lam) - 59.47 AS x, n * cos(phi) * sin(lam) + 5.04 AS y, n * (1 - {e_new!r}) * sin(phi) - 187.44 AS z FROM b),
+d AS (SELECT data_id, 1.0000045993 * (x - radians(1.024 / 3600) * y + radians(-0.1 / 3600) * z) AS u, 1.0000045993 * (radians(1.024 / 3600) * x + y - radians(0.47 / 3600) * z) AS v, 1.0000045993 * (-radians(-0.1 / 3600) * x + radians(0.47 / 3600) * y + z) AS w FROM c),
+e AS (SELECT *, sqrt(u * u + v * v) AS p, atan2(w * 6378388.0, sqrt(u * u + v * v) * {b_old!r}) AS t FROM d),
+g AS (SELECT data_id, degrees(atan2(w + {e_old / (1 - e_old) * b_old!r} * sin(t) ** 3, p - {e_old * 6378388.0!r} * cos(t) ** 3)) AS lat, degrees(atan2(v, u)) AS lon FROM e),
+j AS (SELECT data_id, (lat + 41) * 0.036 AS step, radians(lon - 173) AS o FROM g), h AS (SELECT data_id, {psi} AS a, o FROM j){steps}
+SELECT data_id, round(2510000.0 + i * 6378388.0, 3) AS x_m, round(6023150.0 + r * 6378388.0, 3) AS y_m FROM s5"""
+
+
 def oracle_sql() -> dict[str, str]:
     by_deer = "PARTITION BY deer_id"
     return {
@@ -282,7 +308,20 @@ SELECT n_animals, n_day_higher, round(q[2], 6) AS median_ratio, round(q[1], 6) A
         "w19_signed_ranks": f"""WITH {LABELS_SQL}, h AS (SELECT animal_id, count(*) FILTER (hour(ts) < 12) - count(*) FILTER (hour(ts) >= 12) AS d FROM ls GROUP BY 1),
 r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS rank FROM h WHERE d <> 0) SELECT d AS difference, max(rank) AS rank, count(*) AS n FROM r GROUP BY d""",
         "w7_straightness_metres": f"""{_F}{_STEPS} SELECT data_id, round(CASE WHEN d1 IS NULL THEN lead(tt) OVER w WHEN d2 IS NULL THEN lag(tt) OVER w ELSE tt END, 5) AS straightness, round(coalesce(v, lead(v) OVER w), 5) AS speed FROM tv WINDOW w AS ({by_deer} ORDER BY data_id)""",
-        "w8_straightness_great_circle": f"{_F}{_STEPS} SELECT data_id, round(coalesce(g, lead(g) OVER ({by_deer} ORDER BY data_id)), 4) AS speed FROM tv",
+        "w8_straightness_great_circle": f"""{_F}, st AS (SELECT *, lag(lat) OVER w AS a0, lag(lon) OVER w AS o0, lead(lat) OVER w AS a2, lead(lon) OVER w AS o2 FROM ps WINDOW w AS ({by_deer} ORDER BY data_id)),
+ds AS (SELECT *, {_gc("a0", "o0", "lat", "lon")} AS d1, {_gc("lat", "lon", "a2", "o2")} AS d2, {_gc("a0", "o0", "a2", "o2")} AS c FROM st), tv AS (SELECT *, CASE WHEN d1 + d2 = 0 THEN 0 ELSE c / (d1 + d2) END AS tt, d1 / 2.0 AS g FROM ds)
+SELECT data_id, round(CASE WHEN d1 IS NULL THEN lead(tt) OVER w WHEN d2 IS NULL THEN lag(tt) OVER w ELSE tt END, 4) AS straightness, round(coalesce(g, lead(g) OVER w), 4) AS speed FROM tv WINDOW w AS ({by_deer} ORDER BY data_id)""",
+        "w14_gaussian_smooth": f"""{_F}{_KNOWN.format(c='x')}, v AS (SELECT deer_id, data_id, seq, count(*) OVER ({by_deer}) AS n, CASE WHEN x IS NOT NULL THEN x WHEN v0 IS NOT NULL AND v1 IS NOT NULL THEN v0 + (v1 - v0) * ((seq - s0) / (s1 - s0)) ELSE coalesce(v0, v1) END AS x FROM kn),
+k AS (SELECT unnest(generate_series(-300, 300)) AS k), wt AS (SELECT k, exp(-0.5 * (k / 75.0) ** 2) / sum(exp(-0.5 * (k / 75.0) ** 2)) OVER () AS w FROM k),
+p AS (SELECT deer_id, data_id, w, n, ((seq + k) % (2 * n) + 2 * n) % (2 * n) AS p FROM v CROSS JOIN wt)
+SELECT p.data_id, round(sum(w * v.x), 3) AS smooth FROM p JOIN v ON v.deer_id = p.deer_id AND v.seq = CASE WHEN p.p >= p.n THEN 2 * p.n - 1 - p.p ELSE p.p END GROUP BY p.data_id""",
+        "w18_best_lag": f"""{_R}, g AS (SELECT *, epoch_us("NZ_DateTime") AS us, CASE WHEN epoch_us("NZ_DateTime") - lag(epoch_us("NZ_DateTime")) OVER w <= 60000000 THEN 0 ELSE 1 END AS new FROM rd WINDOW w AS (PARTITION BY deer_id ORDER BY epoch_us("NZ_DateTime"), data_id)),
+rc AS (SELECT *, CAST(sum(new) OVER (PARTITION BY deer_id ORDER BY us, data_id) AS BIGINT) AS recording FROM g),
+h AS (SELECT deer_id, recording, us, data_id, x_head + y_head + z_head AS h, x_ear + y_ear + z_ear AS e FROM rc WHERE {" AND ".join(f"abs({c.lower()}) <= 16" for c in HEAD + EAR)}),
+c AS (SELECT deer_id, recording, row_number() OVER (PARTITION BY deer_id, recording ORDER BY us, data_id) AS pos, h - avg(h) OVER (PARTITION BY deer_id, recording) AS h, e - avg(e) OVER (PARTITION BY deer_id, recording) AS e FROM h),
+s AS (SELECT a.deer_id, a.recording, b.pos - a.pos AS lag, round(sum(a.h * b.e), 6) AS s FROM c a JOIN c b ON a.deer_id = b.deer_id AND a.recording = b.recording GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY deer_id, recording ORDER BY s DESC, lag) AS best FROM s) SELECT deer_id, recording, lag, round(s, 3) AS correlation FROM r WHERE best = 1""",
+        "f10_map_grid": _grid_sql(),
         "w9_interpolated": f"{_F}{_KNOWN.format(c='x')} SELECT data_id, round(CASE WHEN x IS NOT NULL THEN x WHEN v0 IS NOT NULL AND v1 IS NOT NULL THEN v0 + (v1 - v0) * ((seq - s0) / (s1 - s0)) ELSE coalesce(v0, v1) END, 4) AS x FROM kn",
         "w10_interpolated_forward": f"{_F}{_KNOWN.format(c='sp')}, o AS (SELECT data_id, round(CASE WHEN sp IS NOT NULL THEN sp WHEN v0 IS NOT NULL AND v1 IS NOT NULL THEN v0 + (v1 - v0) * ((seq - s0) / (s1 - s0)) ELSE v0 END, 5) AS speed FROM kn) SELECT * FROM o WHERE speed IS NOT NULL",
         "w11_straightness_over_gaps": f"""{_F}{_STEPS.replace("FROM ps", "FROM fx WHERE x IS NOT NULL AND y IS NOT NULL")},
@@ -304,5 +343,5 @@ h AS (SELECT data_id, sin(radians(lat - la) / 2) ** 2 + cos(radians(la)) * cos(r
 
 
 def queries() -> dict[str, Query]:
-    extra = (m8_wilcoxon, w14_gaussian_smooth, f10_map_grid, w16_drops, w17_first_drops, w18_best_lag)
+    extra = (m8_wilcoxon, w16_drops, w17_first_drops)
     return {k: globals()[k] for k in oracle_sql()} | {f.__name__: f for f in extra}

@@ -42,14 +42,25 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, which all machines of a cluster must see.
+
+    Only on a local master, as in tests, a temporary one is taken where none is
+    set; elsewhere that is an error.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder named by spark.checkpoint.dir.
 
-    Survives the loss of executors.  Only where no folder is set, as in tests,
-    a temporary one is taken.
+    Survives the loss of executors.  df is computed when this is called.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

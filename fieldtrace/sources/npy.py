@@ -2,7 +2,8 @@
 
 The header gives shape and type; each partition maps its range of rows of the
 file and sends them as Arrow batches.  Only one- and two-dimensional numeric
-arrays in C order are read; row is the position in the file.
+arrays in C order are read; row is the position in the file, or in the files of a
+folder one after the other by name.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ ROWS = 1 << 20
 
 
 class _Rows(InputPartition):
-    def __init__(self, path: str, start: int, stop: int):
-        self.path, self.start, self.stop = path, start, stop
+    def __init__(self, path: str, start: int, stop: int, before: int):
+        self.path, self.start, self.stop, self.before = path, start, stop, before
 
 
 def _open(path: str) -> np.ndarray:
@@ -38,10 +39,11 @@ class _Reader(DataSourceReader):
         self.files = sorted(map(str, path.glob("*.npy"))) if path.is_dir() else [str(path)]
 
     def partitions(self) -> list[InputPartition]:
-        parts = []
+        parts, before = [], 0
         for f in self.files:
             n = len(_open(f))
-            parts += [_Rows(f, k, min(k + self.rows, n)) for k in range(0, n, self.rows)]
+            parts += [_Rows(f, k, min(k + self.rows, n), before) for k in range(0, n, self.rows)]
+            before += n
         return parts
 
     def read(self, partition: _Rows):
@@ -52,7 +54,7 @@ class _Reader(DataSourceReader):
             block = np.asarray(array[k : min(k + (1 << 16), partition.stop)])
             block = block.reshape(len(block), -1)
             whole = block.dtype.kind in "iub"
-            columns = [pa.array(np.arange(k, k + len(block), dtype=np.int64))]
+            columns = [pa.array(np.arange(k, k + len(block), dtype=np.int64) + partition.before)]
             columns += [pa.array(np.ascontiguousarray(c).astype(np.int64 if whole else np.float64)) for c in block.T]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in self.schema.fields])
 

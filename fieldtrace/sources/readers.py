@@ -6,7 +6,7 @@ import json
 import os
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.features import clean
@@ -51,11 +51,11 @@ def video_clips(spark: SparkSession, path: str, *, fps: float = 30.0) -> DataFra
 def fit_records(spark: SparkSession, folder: str, *, keep_centroids: bool = False) -> DataFrame:
     """Fit records of a folder and those below it: the JSON fields with k and file_path.
 
-    Only files with _meta_k in their name; unreadable ones and those without a
-    leave-out share or centroids are passed over.
+    Only files with _meta_k in their own name or their folder's; unreadable ones
+    and those without a leave-out share or centroids are passed over.
     """
-    reader = spark.read.schema(FIT + ", _corrupt_record STRING").option("recursiveFileLookup", True).option("pathGlobFilter", "*_meta_k*.json").option("multiLine", True)
-    df = reader.json(folder).select("*", F.col("_metadata.file_path").alias("file_path"))
+    reader = spark.read.schema(FIT + ", _corrupt_record STRING").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("multiLine", True)
+    df = reader.json(folder).select("*", F.col("_metadata.file_path").alias("file_path")).where("file_path LIKE '%\\_meta\\_k%'")
     df = df.where("_corrupt_record IS NULL AND reduction_percent IS NOT NULL AND centroids IS NOT NULL")
     df = df.withColumn("k", F.size("centroids")).drop("_corrupt_record")
     return df if keep_centroids else df.drop("centroids")
@@ -133,9 +133,8 @@ def resolve_path(key: str, *, spark: SparkSession | None = None, env: str | None
 
 
 def edge_slices(df: DataFrame, *, keys: list[str], size: int) -> DataFrame:
-    """First, middle and last ``size`` rows (column part) of each key of a frame with seq."""
-    n = F.count("*").over(Window.partitionBy(*keys))
-    with_n = df.withColumn("_n", n)
+    """First, middle and last ``size`` rows (column part) of each key of a frame with seq; NULL keys have none."""
+    with_n = df.join(df.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
     half = F.floor(F.col("_n") / 2)
     part = F.array_compact(F.array(
         F.when(F.col("seq") < size, F.lit("first")),

@@ -5,12 +5,17 @@ from __future__ import annotations
 import csv
 import io
 import logging
+import re
 from pathlib import Path
+from uuid import uuid4
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.features import clean
 from ..operators.ordered import numbered
 
 TABLES = {
@@ -31,10 +36,11 @@ def create_store(spark: SparkSession, folder: str) -> None:
 
 
 def append_rows(df: DataFrame, folder: str, name: str) -> None:
-    """Appends rows in the table's schema; columns it lacks are NULL, others are left out."""
+    """Appends rows in the table's schema; columns it lacks are NULL, others are left out, NaN becomes NULL."""
     schema = df.sparkSession.createDataFrame([], TABLES[name]).schema
     cols = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]
-    df.select(*cols).write.mode("append").parquet(f"{folder}/{name}")
+    rows = df.select(*cols)
+    rows.select(*[clean(c).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes]).write.mode("append").parquet(f"{folder}/{name}")
 
 
 def append_known(df: DataFrame, known: DataFrame, folder: str, name: str, key: str = "deer_id") -> None:
@@ -46,7 +52,10 @@ def append_known(df: DataFrame, known: DataFrame, folder: str, name: str, key: s
 
 
 def labels_by_position(readings: DataFrame, labels: DataFrame, *, id_col: str, id_width: int = 1 << 20) -> DataFrame:
-    """(acc_id, label): the label whose row number is the reading's place in the order of ids; the longer side's rest is dropped."""
+    """(acc_id, label): the label whose row number is the reading's place in the order of ids; the longer side's rest is dropped with a warning."""
+    n_readings, n_labels = readings.count(), labels.count()
+    if n_readings != n_labels:
+        logging.getLogger(__name__).warning("%d readings and %d labels: the rest of the longer side is left out", n_readings, n_labels)
     placed = numbered(readings.select(F.col(id_col).alias("acc_id"), F.lit(0).alias("all"), F.floor(F.col(id_col) / id_width).alias("chunk")), keys=["all"], order=["acc_id"], name="row")
     return placed.join(labels.select("row", F.col("value").cast("int").alias("label")), "row").select("acc_id", "label")
 
@@ -67,6 +76,13 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], path: str) -> None:
     old.join(new.select(*keys), keys, "left_anti").unionByName(new).write.mode("overwrite").parquet(path)
 
 
+def spot_checks(stored: DataFrame, expected: DataFrame, id_col: str, *, n: int = 10) -> DataFrame:
+    """The n rows of expected with the smallest hashes of their id, each with its stored label and whether the two agree."""
+    pick = expected.orderBy(F.xxhash64(id_col), id_col).limit(n).select(id_col, F.col("label").alias("expected"))
+    both = pick.join(stored.select(id_col, F.col("label").alias("stored")), id_col, "left")
+    return both.withColumn("agrees", F.col("stored").eqNullSafe(F.col("expected")))
+
+
 def verify_labels(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows per label before and after and their difference, labels of either side."""
     count = lambda df, n: df.groupBy("label").agg(F.count("*").alias(n))
@@ -103,9 +119,16 @@ def fit_paths(parent: str, tag: str, k: int, size: int, position: int) -> dict[s
     return {"centroids": f"{base}/centroids", "labels": f"{base}/labels", "meta": f"{base}/{tag}_meta_k{k}"}
 
 
-def write_fits(fits: DataFrame, path: str) -> None:
-    """One JSON record a fit."""
-    fits.write.mode("append").json(path)
+def write_fit(meta: DataFrame, centroids: DataFrame, labels: DataFrame, paths: dict[str, str]) -> None:
+    """A fit's record (one row, as JSON), centroids and labels (parquet) at the places of fit_paths."""
+    centroids.write.mode("overwrite").parquet(paths["centroids"])
+    labels.write.mode("overwrite").parquet(paths["labels"])
+    meta.coalesce(1).write.mode("overwrite").json(paths["meta"])
+
+
+def save_table(df: DataFrame, path: str) -> None:
+    """A small table of fits as CSV with a header."""
+    df.write.mode("overwrite").option("header", True).csv(path)
 
 
 def results_json(shares: DataFrame, durations: DataFrame, counts: DataFrame) -> DataFrame:
@@ -124,12 +147,27 @@ def annotate_json(results: DataFrame, stats: DataFrame) -> DataFrame:
     return per.crossJoin(parsed.select("j.transitions")).select(F.to_json(F.struct("centroids", "transitions")).alias("json"))
 
 
-def write_array(df: DataFrame, cols: list[str], order: list[str], path: str, most: int = 10_000_000) -> None:
-    """A frame of at most ``most`` rows as one .npy file; more is an error."""
-    rows = df.orderBy(*order).select(*cols).limit(most + 1).toPandas()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rows; write parquet")
-    np.save(path, rows.to_numpy())
+def write_array(df: DataFrame, cols: list[str], order: list[str], path: str) -> int:
+    """Numeric columns as .npy files of a folder, in order; rows written.
+
+    The frame is range-partitioned by order, and every task writes its part to
+    the folder, which all machines must see; a repeated task overwrites its own
+    file.  The npy reader takes the folder as a whole.
+    """
+    path = re.sub("^file:/+", "/", path)
+    Path(path).mkdir(parents=True, exist_ok=True)
+
+    def write(batches):
+        part = TaskContext.get().partitionId()
+        rows = [np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in cols]) for b in batches if b.num_rows]
+        if rows:
+            draft = Path(path, f".{part:06d}-{uuid4().hex}")
+            with draft.open("wb") as f:
+                np.save(f, np.concatenate(rows))
+            draft.rename(Path(path, f"part-{part:06d}.npy"))
+        yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, rows))], pa.int64())], names=["n"])
+
+    return df.select(*cols, *[c for c in order if c not in cols]).orderBy(*order).mapInArrow(write, "n bigint").agg(F.sum("n")).first()[0] or 0
 
 
 def c_header(centroids: list[list[float]], *, name: str = "CENTROIDS", bits: int = 12) -> str:

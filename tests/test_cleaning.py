@@ -151,6 +151,24 @@ def test_stretches_left_out_change_nothing():
         assert (got[row, there] == x[k, there]).all()
 
 
+def test_a_spike_is_brief(spark):
+    """Five far readings in succession are ordinary, three are a spike, and a far one is held against the five."""
+    def found(far):
+        rows = [(k, "a", k, 1.0 + (k % 5) / 10, None) for k in range(300)]
+        for at, v in far.items():
+            rows[at] = (at, "a", at, v, None)
+        df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], READINGS)
+        got = flag_implausible(df, id_col="data_id", key_col="deer", order=F.col("slot"), fields={"x": (-100.0, 100.0)}, chunk=1000)
+        assert {r.reason for r in got.collect()} <= {"spike"}
+        return {r.id for r in got.collect()}
+
+    five = {k: 5.0 + k / 100 for k in range(100, 105)}
+    assert found(five) == set()
+    assert found({100: 5.0, 101: 5.1, 102: 5.2}) == {100, 101, 102}
+    assert found(five | {200: 9.0}) == set()
+    assert found(five | {200: 30.0}) == {200}
+
+
 def test_grid_fills_a_long_gap_and_says_that_it_settled(spark):
     slots = [s for s in range(900) if not 300 <= s < 350]
     got = grid(spark, [(s, "a", s, float(np.sin(2 * np.pi * s / 40)), None) for s in slots]).where("filled").collect()
