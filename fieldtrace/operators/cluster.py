@@ -6,6 +6,8 @@ travel as literals.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from operator import add
 
@@ -15,8 +17,13 @@ import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType
+
+from .sequence import leave_out
 
 Q_BITS = 12
 
@@ -185,17 +192,25 @@ def _matched(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return cost[np.arange(len(cost)), hungarian(cost)]
 
 
+#: What names a fit: number of clusters, share left out, where, and number.
+FIT = ["k", "share", "position", "fit_id"]
+
+
 def instabilities(fits: DataFrame, *, unscale: list[float] | None = None) -> DataFrame:
-    """Per fit (k, fit_id): drift (mean matched distance to the fit of best ch, NULL for that one) and medoid_sum.
+    """Per fit (FIT, ch): drift (mean matched distance to the fit of best ch, NULL for that one) and medoid_sum.
 
     medoid_sum is the sum of matched distances to the fit whose total over all
-    others is least.  fits has k, fit_id, ch and centroids (array of arrays); the
-    fits of one k are as many as were asked for.
+    others is least.  Fits of one k and one share left out, wherever, are held
+    against each other; they are as many as were asked for.  fits is a result of
+    sweep; share and position may be missing, which is nothing left out.
     """
+    for name in ("share", "position"):
+        if name not in fits.columns:
+            fits = fits.withColumn(name, F.lit(0.0))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("fit_id").reset_index(drop=True)
-        sets = [np.array(c.tolist(), dtype=float).reshape(len(c), -1) * (np.asarray(unscale) if unscale else 1.0) for c in group["centroids"].map(lambda x: np.array([np.array(r) for r in x]))]
+        group = group.sort_values(["position", "fit_id"]).reset_index(drop=True)
+        sets = [np.stack([np.asarray(r, dtype=float) for r in c]) * (np.asarray(unscale) if unscale else 1.0) for c in group["centroids"]]
         n = len(sets)
         total = np.zeros((n, n))
         for i in range(n):
@@ -205,42 +220,120 @@ def instabilities(fits: DataFrame, *, unscale: list[float] | None = None) -> Dat
         medoid = int(total.sum(axis=1).argmin()) if n else 0
         drift = total[best] / len(sets[best])
         drift[best] = np.nan
-        return pd.DataFrame({"k": group["k"], "fit_id": group["fit_id"], "ch": group["ch"], "drift": [None if np.isnan(v) else float(v) for v in drift], "medoid_sum": total[medoid]})
+        return group[[*FIT, "ch"]].assign(drift=[None if np.isnan(v) else float(v) for v in drift], medoid_sum=total[medoid])
 
-    got = fits.groupBy("k").applyInPandas(run, "k int, fit_id int, ch double, drift double, medoid_sum double")
+    got = fits.groupBy("k", "share").applyInPandas(run, "k int, share double, position double, fit_id int, ch double, drift double, medoid_sum double")
     return got.withColumn("drift", F.when(~F.isnan("drift"), F.col("drift")))
 
 
-def fit_kmeans(df: DataFrame, cols: list[str], k: int, seed: int) -> tuple[list[list[float]], float]:
-    """Centroids and inertia of one k-means|| fit."""
-    vectors = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="skip").transform(df.select(*cols))
-    model = KMeans(k=k, seed=seed, initMode="k-means||", maxIter=20).fit(vectors)
-    return [c.tolist() for c in model.clusterCenters()], float(model.summary.trainingCost)
-
-
-def sweep(df: DataFrame, cols: list[str], ks: list[int], seeds: list[int], *, done: DataFrame | None = None) -> DataFrame:
-    """Fits of every (k, seed) not in done: k, fit_id, seed, inertia, ch, centroids. One row a fit."""
+def fit_kmeans(points: DataFrame, k: int, seed: int) -> tuple[list[list[float]], float, float | None]:
+    """Centroids, inertia and Calinski-Harabasz score of one k-means|| fit of a frame with a vector column ``features``."""
+    model = KMeans(k=k, seed=seed, initMode="k-means||", maxIter=20).fit(points)
+    moments = Summarizer.metrics("mean", "variance", "count").summary(F.col("features"))
+    # A row a cluster.
+    per = [r["s"] for r in model.transform(points).groupBy("prediction").agg(moments.alias("s")).collect()]
+    n, means = np.array([r["count"] for r in per], dtype=float), np.array([r["mean"].toArray() for r in per])
+    within = sum((r["count"] - 1) * r["variance"].toArray().sum() for r in per)
+    between = (n[:, None] * (means - (n[:, None] * means).sum(axis=0) / n.sum()) ** 2).sum()
+    ch = (between / (len(per) - 1)) / (within / (n.sum() - len(per))) if len(per) > 1 and within > 0 else None
+    return [c.tolist() for c in model.clusterCenters()], float(model.summary.trainingCost), None if ch is None else float(ch)
+
+
+def sweep(
+    df: DataFrame, cols: list[str], ks: list[int], seeds: list[int], *, id_col: str = "id", cuts: Sequence[tuple[float, float]] = ((0.0, 0.0),),
+    done: DataFrame | None = None, at_once: int = 4,
+) -> DataFrame:
+    """Fits of every (k, seed, cut) not in done: FIT, seed, inertia, ch, centroids. One row a fit.
+
+    A cut (share, position) leaves out that share of the points, in the order of
+    id_col, from that position on and around the end.  The points are read once
+    and kept (in memory, or on disk where they don't fit); ``at_once`` fits run side by side.
+    Rows with a NULL feature take no part.
+    """
     spark = df.sparkSession
-    finished = {(r["k"], r["seed"]) for r in done.select("k", "seed").collect()} if done is not None else set()
-    rows = []
-    for k in ks:
-        for number, seed in enumerate(seeds):
-            if (k, seed) in finished:
-                continue
-            centroids, cost = fit_kmeans(df, cols, k, seed)
-            ch = calinski_harabasz(nearest(df, cols, centroids), cols, "cluster").first()["ch"]
-            rows.append((k, number, seed, cost, ch, centroids))
-    return spark.createDataFrame(rows, "k int, fit_id int, seed int, inertia double, ch double, centroids array<array<double>>")
+    finished = {tuple(r) for r in done.select("k", "seed", "share", "position").collect()} if done is not None else set()
+    todo = [(k, number, seed, *cut) for cut in cuts for k in ks for number, seed in enumerate(seeds) if (k, seed, *cut) not in finished]
+    whole = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="skip").transform(df.select(id_col, *cols))
+    whole = whole.where(F.col(id_col).isNotNull()).select(id_col, "features", F.lit(0).alias("animal_id"), F.floor(F.col(id_col) / (1 << 16)).alias("chunk")).persist()
+    frames = {}
+    for share, position in {t[3:] for t in todo}:
+        frames[share, position] = leave_out(whole, order=[id_col], share=share, at=position).select("features").persist()
+    try:
+        with ThreadPoolExecutor(at_once) as pool:
+            made = list(pool.map(lambda t: fit_kmeans(frames[t[3:]], t[0], t[2]), todo))
+    finally:
+        for frame in [*frames.values(), whole]:
+            frame.unpersist()
+    rows = [(k, share, position, number, seed, cost, ch, centroids) for (k, number, seed, share, position), (centroids, cost, ch) in zip(todo, made, strict=True)]
+    return spark.createDataFrame(rows, "k int, share double, position double, fit_id int, seed int, inertia double, ch double, centroids array<array<double>>")
+
+
+def _each_fit(df: DataFrame, cols: list[str], fits: DataFrame):
+    """The fits on all executors, and the distances of a batch of points to each of them."""
+    named = [c for c in FIT if c in fits.columns]
+    rows = [(tuple(r[c] for c in named), np.array(r["centroids"], dtype=float)) for r in fits.select(*named, "centroids").collect()]  # one row a fit
+    sent = df.sparkSession.sparkContext.broadcast(rows)
+
+    def distances(batch: pa.RecordBatch):
+        x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in cols]).astype(float)
+        x = x[~np.isnan(x).any(axis=1)]
+        own = (x * x).sum(axis=1)
+        for name, centres in sent.value:
+            yield name, np.maximum(own[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1), 0.0)
+
+    return named, distances, [f"{c} {fits.schema[c].dataType.simpleString()}" for c in named]
 
 
 def inertia_of_fits(df: DataFrame, cols: list[str], fits: DataFrame) -> DataFrame:
-    """Inertia of every fit over all points in one pass: (k, fit_id, inertia)."""
-    rows = fits.select("k", "fit_id", "centroids").collect()  # one row a fit
-    sums = []
-    for r in rows:
-        least = F.least(*[squared_distance(cols, c) for c in r["centroids"]]) if len(r["centroids"]) > 1 else squared_distance(cols, r["centroids"][0])
-        sums.append(F.struct(F.lit(r["k"]).alias("k"), F.lit(r["fit_id"]).alias("fit_id"), F.sum(least).alias("inertia")))
-    return df.agg(F.array(*sums).alias("s")).select(F.explode("s").alias("s")).select("s.*")
+    """Inertia of every fit over all points in one pass: what names a fit, inertia.
+
+    The centroids (fits by k by dimensions numbers) are broadcast; a task sends
+    one sum a fit.  Points with a NULL feature take no part.
+    """
+    named, distances, kinds = _each_fit(df, cols, fits)
+
+    def run(batches):
+        total: dict[tuple, float] = {}
+        for batch in batches:
+            for name, d2 in distances(batch):
+                total[name] = total.get(name, 0.0) + float(d2.min(axis=1).sum())
+        yield pa.RecordBatch.from_pydict({**{c: [n[i] for n in total] for i, c in enumerate(named)}, "inertia": list(total.values())}, schema=made)
+
+    made = to_arrow_schema(fits.select(*named).schema.add("inertia", "double"))
+    sums = df.select(*cols).mapInArrow(run, ", ".join([*kinds, "inertia double"]))
+    return sums.groupBy(*named).agg(F.sum("inertia").alias("inertia"))
+
+
+def assigned(df: DataFrame, cols: list[str], fits: DataFrame, *, id_col: str = "id") -> DataFrame:
+    """Each point with its cluster in every fit: what names a fit, id_col, cluster, and the features."""
+    named, distances, kinds = _each_fit(df, cols, fits)
+
+    def run(batches):
+        for batch in batches:
+            batch = batch.filter(pa.array(~np.isnan(np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in cols]).astype(float)).any(axis=1)))
+            for name, d2 in distances(batch):
+                n = pa.array(np.zeros(len(d2), dtype=np.int32))
+                same = [pa.array([v], type=made.field(c).type).take(n) for c, v in zip(named, name, strict=True)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(d2.argmin(axis=1).astype(np.int32)), *batch.columns], schema=made)
+
+    whole = df.select(F.col(id_col), *cols)
+    fields = [*kinds, "cluster int", *[f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema.fields]]
+    empty = fits.select(*named).schema.add("cluster", IntegerType())
+    for f in whole.schema.fields:
+        empty = empty.add(f.name, f.dataType)
+    made = to_arrow_schema(empty)
+    return whole.mapInArrow(run, ", ".join(fields))
+
+
+def silhouettes_of_fits(df: DataFrame, cols: list[str], fits: DataFrame, *, id_col: str = "id", per_label: int = 200, repeats: int = 10) -> DataFrame:
+    """Mean silhouette of each fit (one for each k) in each of ``repeats`` samples of up to per_label points a cluster: (k, repeat, silhouette)."""
+    points = assigned(df, cols, fits.select("k", "centroids"), id_col=id_col)
+    # Labels of different k must not meet: they are drawn and compared within their own k.
+    sample = stratified(points.withColumn("cell", F.col("k") * 1000 + F.col("cluster")), label="cell", id_col=id_col, per_label=per_label, repeats=repeats)
+    sample = sample.withColumn("repeat", F.col("k") * repeats + F.col("repeat"))
+    got = silhouettes(sample, cols, label="cluster", id_col=id_col)
+    mean = got.groupBy("repeat").agg(F.avg("silhouette").alias("silhouette"))
+    return mean.select(F.floor(F.col("repeat") / repeats).cast("int").alias("k"), F.pmod("repeat", F.lit(repeats)).alias("repeat"), "silhouette")
 
 
 def per_k(fits: DataFrame, metrics: list[str], by: list[str] | None = None) -> DataFrame:
@@ -297,16 +390,26 @@ def surrogate(df: DataFrame, dims: int, *, seed: int = 0) -> DataFrame:
     return df.select("id", *[(unit(j) * 2 - 1).alias(f"x{j}") for j in range(dims)])
 
 
-def stability_null(points: DataFrame, dims: int, ks: list[int], seeds: list[int], *, surrogates: list[int]) -> DataFrame:
-    """Drift, ch and inertia of fits on uniform surrogates of the points: medians per (surrogate, k), then bands per k."""
+def stability_null(points: DataFrame, dims: int, ks: list[int], seeds: list[int], *, surrogates: list[int], per_label: int = 200) -> DataFrame:
+    """Drift, ch, inertia and silhouette of fits on uniform surrogates of the points: medians per (surrogate, k), then bands per k.
+
+    The silhouette is that of the fit of best ch, over a stratified sample.
+    """
     frames = []
+    cols = [f"x{j}" for j in range(dims)]
     for s in surrogates:
-        cols = [f"x{j}" for j in range(dims)]
         noise = surrogate(points, dims, seed=s)
-        frames.append(instabilities(sweep(noise, cols, ks, seeds)).withColumn("surrogate", F.lit(s)))
-    every = reduce(DataFrame.unionByName, frames)
-    inner = every.groupBy("surrogate", "k").agg(F.median("drift").alias("drift"), F.median("ch").alias("ch"))
-    return per_k(inner, ["drift", "ch"])
+        fits = sweep(noise, cols, ks, seeds)
+        moved = instabilities(fits).select("k", "fit_id", "drift")
+        inner = fits.join(moved, ["k", "fit_id"]).groupBy("k").agg(*[F.median(m).alias(m) for m in ("drift", "ch", "inertia")])
+        shape = silhouettes_of_fits(noise, cols, best_of(fits), per_label=per_label, repeats=1).select("k", "silhouette")
+        frames.append(inner.join(shape, "k", "left"))
+    return per_k(reduce(DataFrame.unionByName, frames), ["drift", "ch", "inertia", "silhouette"])
+
+
+def best_of(fits: DataFrame) -> DataFrame:
+    """The fit of best ch of each k among those that left nothing out."""
+    return fits.where("share = 0").groupBy("k").agg(F.max_by(F.struct("fit_id", "centroids"), F.struct("ch", -F.col("fit_id"))).alias("f")).select("k", "f.*")
 
 
 def vectors(df: DataFrame, cols: list[str]) -> DataFrame:

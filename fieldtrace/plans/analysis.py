@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,11 @@ from .signals import fixes, readings
 
 Query = Callable[[SparkSession, str], DataFrame]
 AXES = ["X_head", "Y_head", "Z_head", "X_ear", "Y_ear", "Z_ear"]
-DIMS = [f"x{i}" for i in range(6)]
+DIMS = [f"x{i}" for i in range(64)]
+
+#: The sweep: numbers of clusters, seeds, and what is left out (share, from where). The reference goes up to 50 clusters, 200 seeds
+#: and 50 % at ten positions, which are the same parameters.
+KS, SEEDS, CUTS = list(range(2, 13)), [1, 2], [(0.0, 0.0), (0.25, 0.0), (0.25, 0.5)]
 #: Posture centres on the six axes: head up or down against ear forward, back or moving.
 CENTRES = [[h * 0.5, 0.1 * e, 0.6 - abs(h) * 0.4, e * 0.45, -0.1 * h, 0.5 * h * e + 0.1] for h in (-1, 1) for e in (-1, 0, 1, 2)]
 
@@ -29,7 +34,7 @@ REPLICATES = 2000
 
 
 def points(spark: SparkSession, folder: str) -> DataFrame:
-    """The first six dimensions of embeddings."""
+    """All dimensions of embeddings."""
     df = table(spark, folder, "embeddings").where("vec_id IS NOT NULL AND embedding IS NOT NULL")
     return df.select(F.col("vec_id").alias("id"), "label", *[F.col("embedding")[i].cast("double").alias(d) for i, d in enumerate(DIMS)])
 
@@ -81,12 +86,25 @@ def a22_silhouette_summary(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(got.select("label", "n", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75")), 5)
 
 
+def a22_over_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Medians and quartiles over 50 samples of up to 30 points a label: of each label's mean silhouette."""
+    sample = K.stratified(points(spark, folder), label="label", id_col="id", per_label=30, repeats=50)
+    one = K.silhouettes(sample, DIMS, label="label", id_col="id", blocks=2).groupBy("repeat", "label").agg(F.avg("silhouette").alias("silhouette"))
+    return K.per_k(one, ["silhouette"], by=["label"])
+
+
+@lru_cache(maxsize=4)
 def _fits(spark: SparkSession, folder: str) -> DataFrame:
-    return K.sweep(points(spark, folder), DIMS, [2, 3, 4, 5], [1, 2])
+    """The fits of the sweep, made once a session for all queries on them: one row a fit."""
+    return K.sweep(points(spark, folder), DIMS, KS, SEEDS, cuts=CUTS)
+
+
+def _whole(spark: SparkSession, folder: str) -> DataFrame:
+    return _fits(spark, folder).where("share = 0")
 
 
 def m3_sweep(spark: SparkSession, folder: str) -> DataFrame:
-    return _fits(spark, folder).select("k", "fit_id", "seed", "inertia", "ch")
+    return _fits(spark, folder).select(*K.FIT, "seed", "inertia", "ch")
 
 
 def m4_instabilities(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,40 +116,42 @@ def m12_inertia_of_fits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def a23_per_k(spark: SparkSession, folder: str) -> DataFrame:
-    return K.per_k(_fits(spark, folder), ["ch", "inertia"])
+    """Medians and quartiles of each number of clusters and share left out."""
+    return K.per_k(_fits(spark, folder), ["ch", "inertia"], by=["k", "share"])
 
 
 def m6_kneedle(spark: SparkSession, folder: str) -> DataFrame:
-    return K.kneedle(K.per_k(_fits(spark, folder), ["inertia"]))
+    return K.kneedle(K.per_k(_whole(spark, folder), ["inertia"]))
 
 
 def m13_selection_summary(spark: SparkSession, folder: str) -> DataFrame:
-    fits = _fits(spark, folder)
+    fits = _whole(spark, folder)
     bands = K.per_k(fits, ["ch", "inertia"])
     moved = K.per_k(K.instabilities(fits), ["drift"])
-    return K.selection_summary(bands, {"ch": bands, "drift": moved, "silhouette": None, "inertia": bands})
+    shape = K.per_k(K.silhouettes_of_fits(points(spark, folder), DIMS, K.best_of(fits)), ["silhouette"])
+    return K.selection_summary(bands, {"ch": bands, "drift": moved, "silhouette": shape, "inertia": bands})
 
 
 def t2_best_fits(spark: SparkSession, folder: str) -> DataFrame:
-    return J.highest(_fits(spark, folder).select("k", "fit_id", "ch"), ["k"], "ch", ["fit_id"])
+    return J.highest(_fits(spark, folder).select(*K.FIT, "ch"), ["k", "share"], "ch", ["position", "fit_id"])
 
 
 def t3_most_stable_fits(spark: SparkSession, folder: str) -> DataFrame:
-    """The fit of each k with the smallest sum of matched distances, the first on a tie."""
-    return J.highest(K.instabilities(_fits(spark, folder)).withColumn("stable", -F.col("medoid_sum")), ["k"], "stable", ["fit_id"]).drop("stable")
+    """The fit of each k and share with the smallest sum of matched distances, the first on a tie."""
+    return J.highest(K.instabilities(_fits(spark, folder)).withColumn("stable", -F.col("medoid_sum")), ["k", "share"], "stable", ["position", "fit_id"]).drop("stable")
 
 
 def j9_fits_with_inertia(spark: SparkSession, folder: str) -> DataFrame:
     """Fits beside their inertia computed anew over all points; the two agree."""
-    fits = _fits(spark, folder)
+    fits = _whole(spark, folder)
     again = K.inertia_of_fits(points(spark, folder), DIMS, fits).withColumnRenamed("inertia", "inertia_again")
-    return fits.select("k", "fit_id", "inertia").join(again, ["k", "fit_id"], "left")
+    return fits.select(*K.FIT, "inertia").join(again, K.FIT, "left")
 
 
 def s14_uniform_points(spark: SparkSession, folder: str) -> DataFrame:
     """Means and extent of the uniform surrogate of the points, dimension by dimension."""
-    noise = K.surrogate(points(spark, folder), 6)
-    cols = [f"x{j}" for j in range(6)]
+    noise = K.surrogate(points(spark, folder), len(DIMS))
+    cols = DIMS
     return noise.unpivot("id", cols, "dim", "value").groupBy("dim").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"))
 
 
@@ -142,7 +162,7 @@ def s15_box_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def m14_stability_null(spark: SparkSession, folder: str) -> DataFrame:
-    return K.stability_null(points(spark, folder), 6, [2, 3], [1, 2], surrogates=[0, 1])
+    return K.stability_null(points(spark, folder), len(DIMS), KS[::4], SEEDS, surrogates=[0, 1])
 
 
 def proj22_normalised(spark: SparkSession, folder: str) -> DataFrame:
@@ -429,5 +449,5 @@ SELECT nullif(name, '') AS name, count(*) AS n, count(*) FILTER (name = columns)
 
 
 def queries() -> dict[str, Query]:
-    extra = (m3_sweep, m4_instabilities, m12_inertia_of_fits, a23_per_k, m6_kneedle, m13_selection_summary, t2_best_fits, t3_most_stable_fits, j9_fits_with_inertia, s14_uniform_points, s15_box_vectors, m14_stability_null, m7_first_order_null, m7b_marginal_null, m10_super_prototypes)
+    extra = (a22_over_repeats, m3_sweep, m4_instabilities, m12_inertia_of_fits, a23_per_k, m6_kneedle, m13_selection_summary, t2_best_fits, t3_most_stable_fits, j9_fits_with_inertia, s14_uniform_points, s15_box_vectors, m14_stability_null, m7_first_order_null, m7b_marginal_null, m10_super_prototypes)
     return {k: globals()[k] for k in oracle_sql()} | {f.__name__: f for f in extra}

@@ -254,3 +254,27 @@ def test_tokens_and_attribution(spark):
     assert {(r.id, r.video_k): r.weight for r in V.attributions(w).collect()} == {(0, 6): 1.0, (4, 7): 1.0}
     ci = spark.range(1).select(V.wilson(F.lit(10), F.lit(10)).alias("c")).first().c
     assert ci.hi == pytest.approx(1.0) and 0.6 < ci.lo < 0.8
+
+
+def test_sweep_and_what_is_made_of_it(spark):
+    """Fits with and without a share left out; scores, inertia, labels and silhouettes agree with plain numpy."""
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(size=(60, 2)) * 0.3 + c for c in ((0, 0), (10, 0), (0, 10))])
+    df = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(x)] + [(999, None, 1.0)], "id BIGINT, x DOUBLE, y DOUBLE").cache()
+    fits = K.sweep(df, ["x", "y"], [2, 3], [1, 2], cuts=[(0.0, 0.0), (0.25, 0.5)]).cache()
+    rows = fits.collect()
+    assert len(rows) == 8 and {(r.k, r.share, r.position) for r in rows} == {(k, *c) for k in (2, 3) for c in ((0.0, 0.0), (0.25, 0.5))}
+    assert K.sweep(df, ["x", "y"], [2], [1, 2], cuts=[(0.0, 0.0)], done=fits).count() == 0
+    again = {(r.k, r.share, r.fit_id): r.inertia for r in K.inertia_of_fits(df, ["x", "y"], fits).collect()}
+    for r in rows:
+        d2 = ((x[:, None] - np.array(r.centroids)[None]) ** 2).sum(axis=2).min(axis=1)
+        assert abs(again[r.k, r.share, r.fit_id] - d2.sum()) < 1e-6
+        if r.share == 0:
+            assert abs(r.inertia - d2.sum()) < 1e-6
+    best = K.best_of(fits)
+    labels = K.assigned(df, ["x", "y"], best.where("k = 3").select("k", "centroids"))
+    assert labels.count() == 180 and labels.groupBy("cluster").count().where("count = 60").count() == 3
+    shape = {r.k: r.silhouette for r in K.silhouettes_of_fits(df, ["x", "y"], best, repeats=2).where("repeat = 1").collect()}
+    assert shape[3] > 0.85 > shape[2]
+    moved = K.instabilities(fits).where("k = 3").collect()
+    assert sum(r.drift is None for r in moved) == 2 and all(r.medoid_sum < 1.0 for r in moved)
