@@ -16,7 +16,7 @@ from ..operators import validate as V
 from ..session import table
 from .adapters import EXPORTED_SQL, N_STATES, ORDER, RUNS_SQL, exported_bouts, label_stream, rounded
 from .cleaning import wall_us
-from .signals import fixes, readings
+from .signals import filed_readings, fixes, readings
 
 Query = Callable[[SparkSession, str], DataFrame]
 AXES = ["X_head", "Y_head", "Z_head", "X_ear", "Y_ear", "Z_ear"]
@@ -40,17 +40,17 @@ def points(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def j12_nearest(spark: SparkSession, folder: str) -> DataFrame:
-    return K.nearest(readings(spark, folder), AXES, CENTRES).where("cluster IS NOT NULL").select("data_id", "cluster")
+    return K.nearest(filed_readings(spark, folder), AXES, CENTRES).where("cluster IS NOT NULL").select("data_id", "cluster").distinct()
 
 
 def a19_inertia(spark: SparkSession, folder: str) -> DataFrame:
-    df = K.nearest(readings(spark, folder).where(" AND ".join(f"abs({c}) <= 16" for c in AXES)), AXES, CENTRES)
-    return rounded(K.inertia(df), 3)
+    df = K.nearest(filed_readings(spark, folder).where(" AND ".join(f"abs({c}) <= 16" for c in AXES)), AXES, CENTRES)
+    return rounded(K.inertia(df.select("data_id", "d2").distinct()), 3)
 
 
 def a1_cluster_shares(spark: SparkSession, folder: str) -> DataFrame:
     """How the readings of each animal spread over the nearest centres."""
-    df = K.nearest(readings(spark, folder), AXES, CENTRES).where("cluster IS NOT NULL")
+    df = K.nearest(filed_readings(spark, folder), AXES, CENTRES).where("cluster IS NOT NULL").select("deer_id", "data_id", "cluster").distinct()
     return df.groupBy("deer_id", "cluster").agg(F.count("*").alias("n"))
 
 
@@ -60,7 +60,7 @@ def f13_q_format(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def m16_fixed_point_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    return K.nearest_q(readings(spark, folder).dropna(subset=AXES), AXES, CENTRES).select("data_id", "cluster_q")
+    return K.nearest_q(filed_readings(spark, folder).dropna(subset=AXES), AXES, CENTRES).select("data_id", "cluster_q").distinct()
 
 
 def m15_round_trip(spark: SparkSession, folder: str) -> DataFrame:

@@ -20,6 +20,12 @@ LABELS = [0, 1, 2, 3, 4]
 ITEM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
+def filed_readings(spark: SparkSession, folder: str) -> DataFrame:
+    """Readings as filed, copies included, NULL animals and times left out, NaN as NULL. What a row gives by itself is dealt with before copies go."""
+    df = table(spark, folder, "accelerometer_data").where("deer_id IS NOT NULL AND NZ_DateTime IS NOT NULL")
+    return df.withColumns({c: X.clean(c) for c in HEAD + EAR})
+
+
 def readings(spark: SparkSession, folder: str) -> DataFrame:
     """Readings once each, with their time and chunk; NULL animals and times left out, NaN as NULL."""
     df = table(spark, folder, "accelerometer_data").where("deer_id IS NOT NULL AND NZ_DateTime IS NOT NULL").distinct()
@@ -33,7 +39,7 @@ def fixes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def proj2_clip(spark: SparkSession, folder: str) -> DataFrame:
-    return readings(spark, folder).select("data_id", X.clip_symmetric("Z_ear", 7.99).alias("z_ear"))
+    return filed_readings(spark, folder).select("data_id", X.clip_symmetric("Z_ear", 7.99).alias("z_ear")).distinct()
 
 
 def proj2_clip_events(spark: SparkSession, folder: str) -> DataFrame:
