@@ -109,12 +109,14 @@ def references(canonical: DataFrame, *, aliases: dict[str, str] | None = None) -
     spark = canonical.sparkSession
     aliases = ALIASES if aliases is None else aliases
     listed = spark.createDataFrame(list(aliases.items()), "name string, alias string")
-    base = canonical.coalesce(1).select("behaviour_id", F.lower("name").alias("name"), "code", F.lower("description").alias("description"))
-    named = base.select("behaviour_id", F.col("name").alias("phrase"), F.lit(0).alias("kind"))
-    described = base.select("behaviour_id", F.explode(F.split(F.regexp_replace("description", r"\b(the|a|an|one|its) | or [^,]*", ""), r"\s*,\s*")).alias("phrase"), F.lit(1).alias("kind"))
-    other = base.join(listed, "name").select("behaviour_id", F.explode(F.split("alias", r"\s*,\s*")).alias("phrase"), F.lit(1).alias("kind"))
-    whole = base.where(F.col("description").contains(",")).select("behaviour_id", F.regexp_replace("description", r"\b(the|a|an|one|its) ", "").alias("phrase"), F.lit(2).alias("kind"))
-    phrases = named.union(described).union(other).union(whole)
+    base = canonical.coalesce(1).select("behaviour_id", F.lower("name").alias("name"), "code", F.lower("description").alias("description")).join(F.broadcast(listed), "name", "left")
+    none = F.array().cast("array<string>")
+    said = F.split(F.regexp_replace("description", r"\b(the|a|an|one|its) | or [^,]*", ""), r"\s*,\s*")
+    other = F.split("alias", r"\s*,\s*")
+    whole = F.when(F.col("description").contains(","), F.array(F.regexp_replace("description", r"\b(the|a|an|one|its) ", "")))
+    of_kind = lambda made, kind: F.transform(made, lambda p: F.struct(p.alias("phrase"), F.lit(kind).alias("kind")))
+    described = F.concat(F.coalesce(said, none), F.coalesce(other, none))
+    phrases = base.select("behaviour_id", F.inline(F.concat(of_kind(F.array("name"), 0), of_kind(described, 1), of_kind(F.coalesce(whole, none), 2))))
     origin = F.least(F.col("kind"), F.lit(1)).alias("origin")
     single = phrases.select("behaviour_id", F.col("phrase").alias("ref"), origin)
     words = phrases.where("kind < 2").withColumn("words", F.split("phrase", r"[^\p{L}]+")).where(F.size("words") <= 3)
@@ -122,12 +124,11 @@ def references(canonical: DataFrame, *, aliases: dict[str, str] | None = None) -
     # In a name the verb is a participle or stands last; elsewhere it can be any word.
     at = at.where((F.col("origin") == 1) | F.col("w").rlike("(ing|ed)$") | (F.col("at") == F.size("words") - 1)).select("behaviour_id", "origin", "words", "at", F.explode(_forms(F.col("w"))).alias("form"))
     inflected = at.select("behaviour_id", "origin", F.transform("words", lambda x, i: F.when(i == F.col("at"), F.col("form")).otherwise(x)).alias("words"), F.col("at"))
-    turned = inflected.select("behaviour_id", "origin", F.concat(F.slice("words", F.col("at") + 1, 1), F.expr("filter(words, (x, i) -> i <> at)")).alias("words"))
-    moved = inflected.select("behaviour_id", "origin", F.concat(F.expr("filter(words, (x, i) -> i <> at)"), F.slice("words", F.col("at") + 1, 1)).alias("words"))
-    plural = turned.union(moved).union(inflected.select("behaviour_id", "origin", "words"))
-    plural = plural.union(plural.select("behaviour_id", "origin", F.expr("transform(words, (x, i) -> IF(i = size(words) - 1, concat(x, 's'), x))")))
+    taken, rest = F.slice("words", F.col("at") + 1, 1), F.expr("filter(words, (x, i) -> i <> at)")
+    placed = inflected.select("behaviour_id", "origin", F.explode(F.array(F.concat(taken, rest), F.concat(rest, taken), F.col("words"))).alias("words"))
+    plural = placed.select("behaviour_id", "origin", F.explode(F.array(F.col("words"), F.expr("transform(words, (x, i) -> IF(i = size(words) - 1, concat(x, 's'), x))"))).alias("words"))
     joined = plural.select("behaviour_id", F.concat_ws("", "words").alias("ref"), "origin")
-    begun = named.where(~F.col("phrase").contains(" ")).select("behaviour_id", F.explode(F.expr("transform(sequence(1, 3), i -> substr(phrase, 1, length(phrase) - i))")).alias("ref"), F.lit(0).alias("origin")).where(F.length("ref") >= 5)
+    begun = phrases.where((F.col("kind") == 0) & ~F.col("phrase").contains(" ")).select("behaviour_id", F.explode(F.expr("transform(sequence(1, 3), i -> substr(phrase, 1, length(phrase) - i))")).alias("ref"), F.lit(0).alias("origin")).where(F.length("ref") >= 5)
     codes = base.select("behaviour_id", _letters(F.col("code")).alias("ref"), F.lit(0).alias("k"), F.lit(0).alias("origin"))
     # A form that the rules make for two entries is kept for the one whose own phrase it is, else for neither.
     own = single.select("behaviour_id", _letters(F.col("ref")).alias("ref"), F.lit(0).alias("rule"), "origin")
