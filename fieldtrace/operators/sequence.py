@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import following, numbered, previous, running_sum
+from .ordered import beside, earlier, numbered, previous, running_sum, running_sums
 
 ANIMAL = ["animal_id"]
 
@@ -23,11 +23,11 @@ def states(stream: DataFrame, n_states: int, name: str = "label") -> DataFrame:
 
 def bouts(stream: DataFrame, order: list[str]) -> DataFrame:
     """Runs of equal labels: (animal_id, bout, label, length, start_seq, chunk).  Single rows are kept."""
-    marked = previous(numbered(stream, keys=ANIMAL, order=order), keys=ANIMAL, order=["seq"], cols={"before": "label"})
+    marked = previous(stream, keys=ANIMAL, order=order, cols={"before": "label"})
     change = F.when(F.col("before") == F.col("label"), 0).otherwise(1)
-    marked = running_sum(marked, keys=ANIMAL, order=["seq"], value=change, name="bout")
+    marked = running_sums(marked, keys=ANIMAL, order=order, values={"seq": F.lit(1), "bout": change})
     return marked.groupBy("animal_id", "bout").agg(
-        F.first("label").alias("label"), F.count("*").alias("length"), F.min("seq").alias("start_seq"), F.min("chunk").alias("chunk")
+        F.first("label").alias("label"), F.count("*").alias("length"), (F.min("seq") - 1).alias("start_seq"), F.min("chunk").alias("chunk")
     )
 
 
@@ -109,10 +109,9 @@ def cohort_durations(runs: DataFrame, fps: float) -> DataFrame:
 
 def ngrams(stream: DataFrame, order: list[str], n: int) -> DataFrame:
     """Counts of n successive labels per animal: (s1, ..., sn, n)."""
-    df = stream
-    for k in range(1, n):
-        df = previous(df, keys=ANIMAL, order=order, cols={f"b{k}": "label" if k == 1 else f"b{k - 1}"})
-    cols = [*(f"b{k}" for k in range(n - 1, 0, -1)), "label"]
+    names = [f"b{k}" for k in range(1, n)]
+    df = earlier(stream, keys=ANIMAL, order=order, col="label", names=names) if names else stream
+    cols = [*reversed(names), "label"]
     return df.dropna(subset=cols).groupBy(*[F.col(c).alias(f"s{i + 1}") for i, c in enumerate(cols)]).agg(F.count("*").alias("n"))
 
 
@@ -131,8 +130,7 @@ def merge_short_bouts(runs: DataFrame, cutoff: int, *, mode: str = "longer") ->
     if mode not in ("longer", "next"):
         raise ValueError(f"unknown mode {mode!r}")
     held = {"label": "label", "length": "length"}
-    df = previous(runs, keys=ANIMAL, order=["bout"], cols={f"before_{k}": v for k, v in held.items()})
-    df = following(df, keys=ANIMAL, order=["bout"], cols={f"after_{k}": v for k, v in held.items()})
+    df = beside(runs, keys=ANIMAL, order=["bout"], before={f"before_{k}": v for k, v in held.items()}, after={f"after_{k}": v for k, v in held.items()})
     back, ahead = F.coalesce("before_length", F.lit(-1)), F.coalesce("after_length", F.lit(-1))
     if mode == "longer":
         short, take_back = F.col("length") < cutoff, back >= ahead

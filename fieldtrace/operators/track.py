@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import following, known_beside, numbered, previous, running_sum
+from .ordered import beside, known_around, numbered, previous, running_sum, running_sums
 
 EARTH_RADIUS_M = 6378137.0
 
@@ -38,15 +38,14 @@ def straightness_and_speed(track: DataFrame, *, keys: list[str], order: list[str
     its neighbour's speed; keys with fewer than three rows get NULL
     straightness.  Positions must not be NULL.
     """
-    df = previous(track, keys=keys, order=order, cols={"a0": a, "b0": b})
-    df = following(df, keys=keys, order=order, cols={"a2": a, "b2": b})
+    df = beside(track, keys=keys, order=order, before={"a0": a, "b0": b}, after={"a2": a, "b2": b})
     here = (F.col(a), F.col(b))
     back, ahead = (F.col("a0"), F.col("b0")), (F.col("a2"), F.col("b2"))
     path = distance(*back, *here) + distance(*here, *ahead)
     own = F.when(path == 0, 0.0).otherwise(distance(*back, *ahead) / path)
     df = df.withColumn("straightness", own).withColumn("speed", distance(*back, *here) / dt_seconds).drop("a0", "b0", "a2", "b2")
-    df = following(df, keys=keys, order=order, cols={"next_straight": "straightness", "next_speed": "speed"})
-    df = previous(df, keys=keys, order=order, cols={"last_straight": "straightness", "last_speed": "speed"})
+    ahead, back = {"next_straight": "straightness", "next_speed": "speed"}, {"last_straight": "straightness", "last_speed": "speed"}
+    df = beside(df, keys=keys, order=order, before=back, after=ahead)
     first, last = F.col("last_speed").isNull() & F.col("speed").isNull(), F.col("next_speed").isNull()
     straight = F.when(first, F.col("next_straight")).when(last, F.col("last_straight")).otherwise(F.col("straightness"))
     df = df.withColumn("straightness", straight).withColumn("speed", F.coalesce("speed", "next_speed"))
@@ -60,8 +59,7 @@ def interpolate(df: DataFrame, *, keys: list[str], order: list[str], col: str, f
     """
     seq = numbered(df, keys=keys, order=order, name="_seq")
     there = F.col(col).isNotNull()
-    seq = known_beside(seq, keys=keys, order=["_seq"], present=there, held={"_s0": "_seq", "_v0": col})
-    seq = known_beside(seq, keys=keys, order=["_seq"], present=there, held={"_s1": "_seq", "_v1": col}, backward=True)
+    seq = known_around(seq, keys=keys, order=["_seq"], present=there, before={"_s0": "_seq", "_v0": col}, after={"_s1": "_seq", "_v1": col})
     share = (F.col("_seq") - F.col("_s0")) / (F.col("_s1") - F.col("_s0"))
     between = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * share
     filled = F.when(there, F.col(col)).when(F.col("_v0").isNotNull() & F.col("_v1").isNotNull(), between)
@@ -80,20 +78,17 @@ def straightness_over_gaps(track: DataFrame, *, keys: list[str], order: list[str
 
 def null_runs(df: DataFrame, *, keys: list[str], order: list[str], col: str) -> DataFrame:
     """Runs of NULLs of a column: (*keys, start_seq, stop_seq), stop exclusive; a run at the end counts."""
-    seq = numbered(df, keys=keys, order=order)
-    gone = F.col(col).isNull()
-    seq = previous(seq.withColumn("gone", gone), keys=keys, order=["seq"], cols={"was_gone": "gone"})
+    seq = previous(df.withColumn("gone", F.col(col).isNull()), keys=keys, order=order, cols={"was_gone": "gone"})
     opens = F.when(F.col("gone") & ~F.coalesce("was_gone", F.lit(False)), 1).otherwise(0)
-    seq = running_sum(seq, keys=keys, order=["seq"], value=opens, name="run")
-    return seq.where("gone").groupBy(*keys, "run").agg(F.min("seq").alias("start_seq"), (F.max("seq") + 1).alias("stop_seq")).drop("run")
+    seq = running_sums(seq, keys=keys, order=order, values={"seq": F.lit(1), "run": opens})
+    return seq.where("gone").groupBy(*keys, "run").agg((F.min("seq") - 1).alias("start_seq"), F.max("seq").alias("stop_seq")).drop("run")
 
 
 def fill_inclusive(df: DataFrame, *, keys: list[str], order: list[str], col: str) -> DataFrame:
     """NULL runs between two values filled with evenly spaced values whose ends repeat the two (one NULL: the left one)."""
     seq = numbered(df, keys=keys, order=order, name="_seq")
     there = F.col(col).isNotNull()
-    seq = known_beside(seq, keys=keys, order=["_seq"], present=there, held={"_s0": "_seq", "_v0": col})
-    seq = known_beside(seq, keys=keys, order=["_seq"], present=there, held={"_s1": "_seq", "_v1": col}, backward=True)
+    seq = known_around(seq, keys=keys, order=["_seq"], present=there, before={"_s0": "_seq", "_v0": col}, after={"_s1": "_seq", "_v1": col})
     size, at = F.col("_s1") - F.col("_s0") - 1, F.col("_seq") - F.col("_s0") - 1
     share = F.when(size > 1, at / (size - 1)).otherwise(0.0)
     return seq.withColumn(col, F.coalesce(col, F.col("_v0") + (F.col("_v1") - F.col("_v0")) * share)).drop("_seq", "_s0", "_v0", "_s1", "_v1")

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fieldtrace.operators import ordered
 from fieldtrace.operators import circadian as C
 from fieldtrace.operators import cluster as K
 from fieldtrace.operators import features as X
@@ -278,3 +279,24 @@ def test_sweep_and_what_is_made_of_it(spark):
     assert shape[3] > 0.85 > shape[2]
     moved = K.instabilities(fits).where("k = 3").collect()
     assert sum(r.drift is None for r in moved) == 2 and all(r.medoid_sum < 1.0 for r in moved)
+
+
+@pytest.mark.parametrize("size", [1, 3, 100])
+def test_ordered_steps_cross_chunks(spark, size):
+    labels = [None if i % 5 == 2 else (i * 7) % 4 for i in range(23)]
+    rows = [(k, i, i // size, v, "mine") for k, n in ((1, 23), (2, 1)) for i, v in enumerate(labels[:n])]
+    df = spark.createDataFrame(rows, "k int, i int, chunk int, v int, _before string")
+    by = {"keys": ["k"], "order": ["i"]}
+    at = lambda i: labels[i] if 0 <= i < 23 else None
+    near = lambda way: next((labels[j] for j in way if labels[j] is not None), None)
+    one = {r.i: r for r in ordered.earlier(df, **by, col="v", names=["b1", "b2", "b3"]).where("k = 1").collect()}
+    assert [(one[i].b1, one[i].b2, one[i].b3) for i in range(23)] == [(at(i - 1), at(i - 2), at(i - 3)) for i in range(23)]
+    two = {r.i: r for r in ordered.beside(df, **by, before={"b": "v"}, after={"a": "v"}).where("k = 1").collect()}
+    assert [(two[i].b, two[i].a, two[i]["_before"]) for i in range(23)] == [(at(i - 1), at(i + 1), "mine") for i in range(23)]
+    three = {r.i: r for r in ordered.known_around(df, **by, present=df.v.isNotNull(), before={"b": "v"}, after={"a": "v"}).where("k = 1").collect()}
+    assert [(three[i].b, three[i].a) for i in range(23)] == [(near(range(i, -1, -1)), near(range(i, 23))) for i in range(23)]
+    four = {r.i: r for r in ordered.running_sums(df, **by, values={"seq": F.lit(1), "total": F.col("v")}).where("k = 1").collect()}
+    assert [(four[i].seq, four[i].total) for i in range(23)] == [(i + 1, sum(v or 0 for v in labels[: i + 1])) for i in range(23)]
+    alone = ordered.earlier(df.where("k = 2"), **by, col="v", names=["b1"]).first()
+    assert alone.b1 is None
+    assert ordered.earlier(df.where("k = 3"), **by, col="v", names=["b1"]).count() == 0
