@@ -13,6 +13,8 @@ that meets no stretch never leaves its task.
 
 Remarks that observers put before or behind a behaviour are learned from the
 values themselves: words beside exactly written behaviours of several kinds.
+What is learned depends on how often things are written relative to each other,
+so that a larger table, with more misspellings, maps a value no differently.
 """
 
 from __future__ import annotations
@@ -233,55 +235,90 @@ def _spans(parts: DataFrame, longest: int) -> DataFrame:
 def learn_remarks(spans: DataFrame, refs: DataFrame, *, support: int = 3) -> DataFrame:
     """Rows (side, remark): what stands before (``before``) or behind (``behind``) exactly written entries of at least ``support`` kinds.
 
-    spans is a result of _spans; refs as in pigeonhole_pairs.  What is itself a
-    reference string is no remark.
+    spans is a result of _spans over single parts of values: in a whole value other
+    entries stand beside an entry, and in a large table each of their misspellings
+    beside several.  refs as in pigeonhole_pairs.  What is a reference string, or
+    one edit from it, is no remark.
     """
     exact = _small(refs.select(F.col("ref").alias("typed"), "behaviour_id").distinct())
     one = spans.where("(before = '') <> (behind = '')").join(exact, "typed")
     beside = one.select(F.expr("IF(before = '', 'behind', 'before')").alias("side"), F.concat("before", "behind").alias("remark"), "behaviour_id")
     # A row for each pair of remark and entry, then of remarks; behaviour_id has as many values as the canonical list.
     often = beside.distinct().groupBy("side", "remark").agg(F.count("*").alias("kinds")).where(F.col("kinds") >= support)
-    return often.join(exact.select(F.col("typed").alias("_l")).distinct(), _letters(F.col("remark")) == F.col("_l"), "left_anti").select("side", "remark")
+    often = cut_lineage(often.select("side", "remark", _letters(F.col("remark")).alias("_l")))
+    entries = pigeonhole_pairs(often.select(F.col("_l").alias("typed")).distinct(), refs.withColumn("k", F.least("k", F.lit(1))))
+    return often.join(entries.select(F.col("typed").alias("_l")).distinct(), "_l", "left_anti").select("side", "remark")
+
+
+def lone_remarks(parts: DataFrame, pairs: DataFrame, *, support: int = 3) -> DataFrame:
+    """Rows (typed): what is two or more edits from every reference string, stands as a part beside exactly written entries of
+    at least ``support`` kinds, and is in more values than any reference string near it.
+
+    A misspelling stands beside as many kinds in a large table, but is rarer than what it is a misspelling of.
+    parts has value, first, typed (whole parts of the values); pairs is a result of pigeonhole_pairs over them.
+    """
+    often = parts.groupBy("typed").agg(F.countDistinct("value").alias("n"))
+    near = pairs.join(often.select(F.col("typed").alias("ref"), F.col("n").alias("_n")), "ref", "left").groupBy("typed").agg(F.min("d").alias("d"), F.coalesce(F.max("_n"), F.lit(0)).alias("_n"))
+    odd = near.where("d >= 2").join(often, "typed").where("n > _n").select("typed")
+    exact = pairs.where("d = 0").select(F.col("typed").alias("_t"), "behaviour_id").join(parts.select("value", F.col("first").alias("_f"), F.col("typed").alias("_t")), "_t")
+    beside = parts.join(odd, "typed").join(exact, "value").where("first <> _f").select("typed", "behaviour_id").distinct()
+    return beside.groupBy("typed").agg(F.count("*").alias("kinds")).where(F.col("kinds") >= support).select("typed")
+
+
+def _runs(parts: DataFrame, longest: int) -> DataFrame:
+    """Rows (value, first, last, words): every part of each value, runs of up to ``longest`` parts, and all parts together.
+
+    parts has value, parts (arrays of words).
+    """
+    count = "size(parts)"
+    ends = f"transform(sequence(0, {count} - 1), i -> transform(sequence(i, least(i + {longest}, {count}) - 1), j -> named_struct('first', i, 'last', j)))"
+    whole = f"IF({count} > {longest}, array(named_struct('first', 0, 'last', {count} - 1)), array())"
+    runs = parts.where(f"{count} > 0").select("value", "parts", F.explode(F.expr(f"concat(flatten({ends}), {whole})")).alias("r"))
+    return runs.select("value", F.col("r.first").alias("first"), F.col("r.last").alias("last"), F.expr("array_distinct(flatten(slice(parts, r.first + 1, r.last - r.first + 1)))").alias("words"))
 
 
 def map_values(
     rows: DataFrame, canonical: DataFrame, *, id_col: str = "register_id", value_col: str = "Behaviour", aliases: dict[str, str] | None = None,
-    longest: int = 4, support: int = 3,
+    longest: int = 4, support: int = 3, joined: int = 3,
 ) -> DataFrame:
     """Rows (id_col, behaviour_id), distinct: what each non-blank value means, -1 if nothing on the list.
 
-    A value is taken as a whole if a reference string is at most one edit away;
-    else its parts are looked up one by one, and parts that mean nothing
-    (remarks) are left out; if none means anything, the whole is taken with all
-    edits allowed.  Every phrase is looked up as it stands and without the remarks
+    The parts of a value are looked up one by one, and so are runs of up to
+    ``joined`` parts and the whole value.  A run counts instead of its parts if a
+    reference string is at most one edit away; with all edits allowed it counts
+    if none of its parts means anything.  Parts that mean nothing (remarks) are left
+    out.  Every phrase is looked up as it stands and without the remarks
     at its ends, which are learned from the values (learn_remarks; of up to
-    ``longest`` words).  The nearest reference string wins; on a tie one made from
+    ``longest`` words), as are parts that are remarks near a reference string (lone_remarks).  The nearest reference string wins; on a tie one made from
     a name, then the smaller behaviour_id.
     NULL and blank values give no row; a repeated id with the same value counts
     once; other columns are ignored; empty tables give no rows, an empty list -1.
     The references, remarks and pairs are computed when the function is called.
     """
     given = rows.select(F.col(id_col).alias("_id"), F.col(value_col).alias("value")).where(F.col("value").rlike(r"\S"))
-    values = given.select("value").distinct().repartition(_tasks(rows), "value").select("value", F.lower("value").alias("low"))
+    values = given.select("value").distinct().repartition(_tasks(rows), "value")
     refs = cut_lineage(references(canonical, aliases=aliases))
-    parts = values.select("value", F.lit(0).alias("level"), F.lit(0).alias("no"), F.col("low").alias("part")).union(
-        values.select("value", F.lit(1), F.posexplode(F.split("low", PARTING)))
-    )
-    spans = cut_lineage(_spans(parts.select("value", "level", "no", _words(F.col("part")).alias("words")), longest).drop("words"))
-    remarks = cut_lineage(learn_remarks(spans, refs, support=support))
+    parts = values.select("value", F.filter(F.transform(F.split(F.lower("value"), PARTING), _words), lambda w: F.size(w) > 0).alias("parts"))
+    spans = cut_lineage(_spans(_runs(parts, joined), longest).drop("words"))
+    remarks = cut_lineage(learn_remarks(spans.where("first = last"), refs, support=support))
     # As many rows as there are remarks in use; beyond the checked size it is an ordinary join.
     known = lambda side: _small(remarks.where(F.col("side") == side).select(F.col("remark").alias(side)).union(remarks.sparkSession.createDataFrame([("",)], f"{side} string")))
     # A phrase that is nothing but a remark means nothing.
     spans = spans.join(remarks.select(F.col("remark").alias("phrase")).distinct(), "phrase", "left_anti")
-    parts = spans.join(known("before"), "before").join(known("behind"), "behind").select("value", "level", "no", "typed").distinct()
-    typed = parts.select("typed").distinct()
+    units = spans.join(known("before"), "before").join(known("behind"), "behind").select("value", "first", "last", "typed").distinct()
+    typed = units.select("typed").distinct()
     pairs = cut_lineage(pigeonhole_pairs(typed, refs))
-    pairs = pairs.union(transposed_pairs(typed.join(pairs.select("typed").distinct(), "typed", "left_anti"), refs))
+    pairs = cut_lineage(pairs.union(transposed_pairs(typed.join(pairs.select("typed").distinct(), "typed", "left_anti"), refs)))
+    alone = lone_remarks(spans.where("first = last AND before = '' AND behind = ''").select("value", "first", "typed").distinct(), pairs, support=support)
+    pairs = pairs.join(alone, "typed", "left_anti")
     nearest = pairs.groupBy("typed").agg(F.min(F.struct("d", "origin", "behaviour_id")).alias("best"))
-    meant = parts.join(nearest, "typed").groupBy("value", "level", "no").agg(F.min("best").alias("best"))
-    # A value as a whole comes first if it is as good as written, and last if it isn't.
-    meant = meant.select("value", F.when(F.col("level") == 1, 1).when(F.col("best.d") <= 1, 0).otherwise(2).alias("level"), "best.behaviour_id")
-    first = meant.groupBy("value").agg(F.min("level").alias("level"))
-    meant = meant.join(first, ["value", "level"]).select("value", "behaviour_id").distinct()
+    meant = units.join(nearest, "typed").groupBy("value", "first", "last").agg(F.min("best").alias("best"))
+    # A run that is as good as written comes before its parts, the longest one first; another one comes behind them.
+    rank = F.when(F.col("first") == F.col("last"), 1).when(F.col("best.d") <= 1, 0).otherwise(2)
+    length = F.when(rank == 0, F.col("first") - F.col("last")).otherwise(0)
+    # As many elements as a value has parts and runs.
+    units = meant.groupBy("value").agg(F.collect_list(F.struct(F.struct(rank.alias("rank"), length.alias("length"), "best", "first", "last").alias("order"), "first", "last", "best.behaviour_id")).alias("units"))
+    kept = F.expr("filter(units, u -> NOT exists(units, v -> v.order < u.order AND v.first <= u.last AND v.last >= u.first))")
+    meant = units.select("value", F.explode(kept).alias("u")).select("value", "u.behaviour_id").distinct()
     none = values.select("value").join(meant.select("value").distinct(), "value", "left_anti").select("value", F.lit(-1).alias("behaviour_id"))
     return given.join(meant.union(none), "value").select(F.col("_id").alias(id_col), F.col("behaviour_id").cast("int").alias("behaviour_id")).distinct()

@@ -157,6 +157,24 @@ def test_remarks_are_learned(spark):
     assert sorted(map(tuple, got.collect())) == [("before", "big"), ("behind", "again")]
 
 
+def test_misspellings_are_no_remarks(spark):
+    """A misspelling that stands beside many kinds of entry keeps its meaning, wherever it stands; so do parts that mean something only together."""
+    values = {"walking": {4}, "walkng": {4}, "upright, motionless": {2}, "ear flick; upright, motionless": {2, 3}, "grazing then walkng; upright, motionless": {1, 2, 4}}
+    for k, name, *_ in LIST:
+        values |= {f"{name}; walkng": {k, 4}, f"walkng then {name}": {k, 4}, f"{name}; walking": {k, 4}, f"{name}, upright, motionless": {k, 2}}
+    assert mapped(spark, list(values)) == list(values.values())
+
+
+def test_lone_remarks(spark):
+    """A part near a reference string is a remark only where it is more frequent than that string."""
+    beside = [("grazing", 1), ("walking", 4), ("ear flick", 3)]
+    rows = [(f"{a} {t}", n, x.replace(" ", "")) for t in ("grzng", "wolkinc") for a, _ in beside for n, x in enumerate((a, t))] + [(f"grazing {k}", 0, "grazing") for k in range(3)]
+    parts = spark.createDataFrame(rows, "value STRING, first INT, typed STRING")
+    pairs = [("grzng", "grazing", 1, 0, 2), ("wolkinc", "wlkinc", 4, 0, 2), *[(x.replace(" ", ""), x.replace(" ", ""), k, 0, 0) for x, k in beside]]
+    got = M.lone_remarks(parts, spark.createDataFrame(pairs, "typed STRING, ref STRING, behaviour_id INT, origin INT, d INT"))
+    assert [r.typed for r in got.collect()] == ["wolkinc"]
+
+
 def test_without_aliases(spark):
     rows = spark.createDataFrame([(1, "grazed"), (2, "frozen pose")], "register_id BIGINT, Behaviour STRING")
     canonical = spark.createDataFrame(LIST, "behaviour_id INT, name STRING, code STRING, description STRING")
