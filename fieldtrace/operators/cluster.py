@@ -6,24 +6,22 @@ travel as literals.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from operator import add
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType
 
-from .sequence import leave_out
+from .ordered import numbered
 
 Q_BITS = 12
 
@@ -226,45 +224,179 @@ def instabilities(fits: DataFrame, *, unscale: list[float] | None = None) -> Dat
     return got.withColumn("drift", F.when(~F.isnan("drift"), F.col("drift")))
 
 
-def fit_kmeans(points: DataFrame, k: int, seed: int) -> tuple[list[list[float]], float, float | None]:
-    """Centroids, inertia and Calinski-Harabasz score of one k-means|| fit of a frame with a vector column ``features``."""
-    model = KMeans(k=k, seed=seed, initMode="k-means||", maxIter=20).fit(points)
-    moments = Summarizer.metrics("mean", "variance", "count").summary(F.col("features"))
-    # A row a cluster.
-    per = [r["s"] for r in model.transform(points).groupBy("prediction").agg(moments.alias("s")).collect()]
-    n, means = np.array([r["count"] for r in per], dtype=float), np.array([r["mean"].toArray() for r in per])
-    within = sum((r["count"] - 1) * r["variance"].toArray().sum() for r in per)
-    between = (n[:, None] * (means - (n[:, None] * means).sum(axis=0) / n.sum()) ** 2).sum()
-    ch = (between / (len(per) - 1)) / (within / (n.sum() - len(per))) if len(per) > 1 and within > 0 else None
-    return [c.tolist() for c in model.clusterCenters()], float(model.summary.trainingCost), None if ch is None else float(ch)
+def _draws(ids: np.ndarray, salt: str) -> np.ndarray:
+    """A number in [0, 1) for each id, the same wherever the id lies."""
+    z = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(zlib.crc32(salt.encode()) << 16)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+
+
+def _labels(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest centre of each point, and the squared distance."""
+    mid = centres.mean(axis=0)
+    away = centres - mid
+    label = ((away * away).sum(axis=1) - 2 * (x - mid) @ away.T).argmin(axis=1)
+    gap = x - centres[label]
+    return label, np.einsum("ij,ij->i", gap, gap)
+
+
+def _chosen(points: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 30) -> np.ndarray:
+    """k centres of few weighted points: k-means++, then Lloyd's rounds; all of the distinct points if they are at most k."""
+    points, where = np.unique(points, axis=0, return_inverse=True)
+    weight = np.bincount(where.ravel(), weight)
+    if len(points) <= k:
+        return points
+    picked = [int(rng.choice(len(points), p=weight / weight.sum()))]
+    d2 = np.full(len(points), np.inf)
+    while len(picked) < k:
+        gap = points - points[picked[-1]]
+        d2 = np.minimum(d2, (gap * gap).sum(axis=1))
+        mass = weight * d2
+        # Points without weight are taken once no other is left.
+        mass = mass if mass.sum() > 0 else d2
+        picked.append(int(rng.choice(len(points), p=mass / mass.sum())))
+    centres, last = points[picked].copy(), None
+    for _ in range(rounds):
+        label, _ = _labels(points, centres)
+        if last is not None and (label == last).all():
+            break
+        last, total = label, np.bincount(label, weight, minlength=k)
+        moved = np.eye(k)[label].T @ (points * weight[:, None])
+        centres[total > 0] = moved[total > 0] / total[total > 0, None]
+    return centres
+
+
+def _together(a: dict, b: dict) -> dict:
+    """Sums of tuples by key; lists are joined."""
+    out = dict(a)
+    for key, value in b.items():
+        out[key] = tuple(x + y for x, y in zip(out[key], value, strict=True)) if key in out else value
+    return out
+
+
+def _pass(blocks: DataFrame, sent: object, measure) -> dict:
+    """What measure(ids, points, what is sent for a fit) gives for the points of each fit's cut, summed over all points.
+
+    sent has (cut, ...) by fit.  Sums are formed in the tasks and then in a
+    tree, so the driver gets a few, whatever the number of tasks.
+    """
+    context = blocks.sparkSession.sparkContext
+    shared = context.broadcast(sent)
+
+    def run(rows):
+        total: dict = {}
+        for row in rows:
+            ids = np.frombuffer(row.ids, dtype=np.int64)
+            x, inside = np.frombuffer(row.x).reshape(len(ids), -1), np.frombuffer(row.inside, dtype=bool).reshape(len(ids), -1)
+            mine = {cut: (ids[inside[:, cut]], x[inside[:, cut]]) for cut in {s[0] for s in shared.value.values()}}
+            total = _together(total, {fit: measure(*mine[cut], *more) for fit, (cut, *more) in shared.value.items() if len(mine[cut][0])})
+        yield total
+
+    try:
+        return blocks.rdd.mapPartitions(run).treeAggregate({}, _together, _together)
+    finally:
+        shared.unpersist()
+
+
+def _first(ids: np.ndarray, x: np.ndarray, salt: str) -> tuple:
+    draws = _draws(ids, salt)
+    k = int(draws.argmin())
+    return ([(draws[k], x[k])],)
+
+
+def _cost(ids: np.ndarray, x: np.ndarray, centres: np.ndarray) -> tuple:
+    return (float(_labels(x, centres)[1].sum()),)
+
+
+def _sampled(ids: np.ndarray, x: np.ndarray, centres: np.ndarray, rate: float, salt: str) -> tuple:
+    return (list(x[_draws(ids, salt) < rate * _labels(x, centres)[1]]),)
+
+
+def _sums(ids: np.ndarray, x: np.ndarray, centres: np.ndarray) -> tuple:
+    label, d2 = _labels(x, centres)
+    return np.bincount(label, minlength=len(centres)).astype(float), np.eye(len(centres))[label].T @ x, float(d2.sum())
+
+
+def _fit_together(blocks: DataFrame, fits: dict[tuple, int], *, steps: int = 2, rounds: int = 20, tolerance: float = 1e-4) -> dict[tuple, tuple]:
+    """Centroids, inertia and Calinski-Harabasz score of k-means|| fits, all of them in each pass over the points.
+
+    fits has the cut by (k, seed, share, position).  A fit begins with ``steps`` rounds of sampling, about 2 k points each, and ends after
+    ``rounds`` of Lloyd's, or when no centroid moves by more than tolerance.  A
+    fit without points is left out.
+    """
+    salt = lambda fit, step: f"{fit} {step}"
+    drawn = _pass(blocks, {fit: (cut, salt(fit, 0)) for fit, cut in fits.items()}, _first)
+    fits = {fit: cut for fit, cut in fits.items() if fit in drawn}
+    centres = {fit: min(drawn[fit][0], key=lambda p: (p[0], *p[1]))[1][None] for fit in fits}
+    for step in range(steps):
+        cost = _pass(blocks, {fit: (cut, centres[fit]) for fit, cut in fits.items()}, _cost)
+        more = _pass(blocks, {fit: (cut, centres[fit], 2 * fit[0] / cost[fit][0], salt(fit, step + 1)) for fit, cut in fits.items() if cost[fit][0] > 0}, _sampled)
+        centres = {fit: np.array([*centres[fit], *(more[fit][0] if fit in more else [])]) for fit in fits}
+    got = _pass(blocks, {fit: (cut, centres[fit]) for fit, cut in fits.items()}, _sums)
+    centres = {fit: _chosen(centres[fit], got[fit][0], fit[0], np.random.default_rng(zlib.crc32(salt(fit, "++").encode()))) for fit in fits}
+    moving = dict(fits)
+    for _ in range(rounds):
+        if not moving:
+            break
+        got = _pass(blocks, {fit: (cut, centres[fit]) for fit, cut in moving.items()}, _sums)
+        for fit, (n, sums, _) in got.items():
+            new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres[fit])
+            if ((new - centres[fit]) ** 2).sum(axis=1).max() <= tolerance**2:
+                del moving[fit]
+            centres[fit] = new
+    out = {}
+    for fit, (n, sums, cost) in _pass(blocks, {fit: (cut, centres[fit]) for fit, cut in fits.items()}, _sums).items():
+        there = n > 0
+        size, mean = n[there], sums[there] / n[there, None]
+        within = cost - (size[:, None] * (mean - centres[fit][there]) ** 2).sum()
+        between = (size[:, None] * (mean - sums.sum(axis=0) / n.sum()) ** 2).sum()
+        ch = (between / (len(size) - 1)) / (within / (n.sum() - len(size))) if len(size) > 1 and within > 0 else None
+        out[fit] = ([c.tolist() for c in centres[fit]], cost, None if ch is None else float(ch))
+    return out
 
 
 def sweep(
     df: DataFrame, cols: list[str], ks: list[int], seeds: list[int], *, id_col: str = "id", cuts: Sequence[tuple[float, float]] = ((0.0, 0.0),),
-    done: DataFrame | None = None, at_once: int = 4,
+    done: DataFrame | None = None, at_once: int = 100,
 ) -> DataFrame:
     """Fits of every (k, seed, cut) not in done: FIT, seed, inertia, ch, centroids. One row a fit.
 
     A cut (share, position) leaves out that share of the points, in the order of
     id_col, from that position on and around the end.  The points are read once
-    and kept (in memory, or on disk where they don't fit); ``at_once`` fits run side by side.
-    Rows with a NULL feature take no part.
+    and kept (in memory, or on disk where they don't fit); ``at_once`` fits run side by side, in the same passes over the points.
+    Rows with a NULL feature take no part; without points there are no fits.
     """
     spark = df.sparkSession
     finished = {tuple(r) for r in done.select("k", "seed", "share", "position").collect()} if done is not None else set()
     todo = [(k, number, seed, *cut) for cut in cuts for k in ks for number, seed in enumerate(seeds) if (k, seed, *cut) not in finished]
-    whole = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="skip").transform(df.select(id_col, *cols))
-    whole = whole.where(F.col(id_col).isNotNull()).select(id_col, "features", F.lit(0).alias("animal_id"), F.floor(F.col(id_col) / (1 << 16)).alias("chunk")).persist()
-    frames = {}
-    for share, position in {t[3:] for t in todo}:
-        frames[share, position] = leave_out(whole, order=[id_col], share=share, at=position).select("features").persist()
-    try:
-        with ThreadPoolExecutor(at_once) as pool:
-            made = list(pool.map(lambda t: fit_kmeans(frames[t[3:]], t[0], t[2]), todo))
-    finally:
-        for frame in [*frames.values(), whole]:
-            frame.unpersist()
-    rows = [(k, share, position, number, seed, cost, ch, centroids) for (k, number, seed, share, position), (centroids, cost, ch) in zip(todo, made, strict=True)]
+    # One array, because plans over many single columns take minutes to optimise.
+    whole = df.select(F.col(id_col).cast("bigint").alias("id"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
+    whole = whole.where(F.col("id").isNotNull() & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v)))
+    used = list(dict.fromkeys(t[3:] for t in todo))
+    if any(share for share, _ in used):
+        whole = numbered(whole.withColumns({"all": F.lit(0), "chunk": F.floor(F.col("id") / (1 << 16))}), keys=["all"], order=["id"])
+        total = whole.count()
+        inside = [F.pmod(F.col("seq") - int(total * position), F.lit(max(total, 1))) >= int(total * share) if share else F.lit(True) for share, position in used]
+    else:
+        inside = [F.lit(True) for _ in used]
+
+    def pack(batches):
+        for batch in batches:
+            if batch.num_rows:
+                flat = {"ids": batch.column("id"), "x": batch.column("x").flatten(), "inside": batch.column("inside").flatten()}
+                yield pa.RecordBatch.from_pydict({c: [v.to_numpy(zero_copy_only=False).tobytes()] for c, v in flat.items()}, schema=made)
+
+    made = pa.schema([("ids", pa.binary()), ("x", pa.binary()), ("inside", pa.binary())])
+    fits: dict[tuple, tuple] = {}
+    if todo:
+        blocks = whole.select("id", "x", F.array(*inside).alias("inside")).mapInArrow(pack, "ids binary, x binary, inside binary").persist()
+        try:
+            for begin in range(0, len(todo), at_once):
+                fits |= _fit_together(blocks, {(k, seed, *cut): used.index(tuple(cut)) for k, _, seed, *cut in todo[begin : begin + at_once]})
+        finally:
+            blocks.unpersist()
+    rows = [(k, share, position, number, seed, *[fits[k, seed, share, position][i] for i in (1, 2, 0)]) for k, number, seed, share, position in todo if (k, seed, share, position) in fits]
     return spark.createDataFrame(rows, "k int, share double, position double, fit_id int, seed int, inertia double, ch double, centroids array<array<double>>")
 
 

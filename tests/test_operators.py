@@ -281,6 +281,15 @@ def test_sweep_and_what_is_made_of_it(spark):
     assert sum(r.drift is None for r in moved) == 2 and all(r.medoid_sum < 1.0 for r in moved)
 
 
+def test_sweep_does_not_depend_on_partitions(spark):
+    """Many columns, as wide as the points of the queries; the same fits however the points are spread."""
+    x, cols = np.random.default_rng(1).normal(size=(90, 40)), [f"x{j}" for j in range(40)]
+    df = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(x)], ", ".join(["id BIGINT", *[f"{c} DOUBLE" for c in cols]]))
+    one, other = ({(r.k, r.share): (r.inertia, r.ch) for r in K.sweep(df.repartition(n), cols, [2, 5], [1], cuts=[(0.0, 0.0), (0.25, 0.5)]).collect()} for n in (1, 3))
+    assert len(one) == 4 and all(one[f] == pytest.approx(other[f]) for f in one)
+    assert K.sweep(df.limit(0), cols, [2], [1]).count() == 0
+
+
 @pytest.mark.parametrize("size", [1, 3, 100])
 def test_ordered_steps_cross_chunks(spark, size):
     labels = [None if i % 5 == 2 else (i * 7) % 4 for i in range(23)]
