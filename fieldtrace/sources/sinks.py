@@ -90,10 +90,23 @@ def verify_labels(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.withColumn("change", F.col("n_after") - F.col("n_before"))
 
 
+#: Rows of an animal that go into one file; beyond that its rows are spread over several.
+ROWS_A_FILE = 1_000_000
+
+
 def write_by_animal(df: DataFrame, path: str, key: str = "deer_id") -> int:
-    """Writes one folder an animal; raises unless as many rows come back as went in."""
-    expected = df.count()
-    df.repartition(key, F.pmod(F.xxhash64(*df.columns), F.lit(8))).write.mode("overwrite").partitionBy(key).parquet(path)
+    """Writes one folder an animal; raises unless as many rows come back as went in.
+
+    An animal has a file for every ROWS_A_FILE of its rows, so many small ones
+    make few files.
+    """
+    sizes = df.groupBy(key).agg(F.count("*").alias("_n"))
+    # A row for each animal that has more rows than fit into a file.
+    large = F.broadcast(sizes.where(F.col("_n") > ROWS_A_FILE).select(F.col(key).alias("_key"), F.ceil(F.col("_n") / ROWS_A_FILE).alias("_files")))
+    expected = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    part = F.pmod(F.xxhash64(*df.columns), F.coalesce("_files", F.lit(1)))
+    spread = df.join(large, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn("_part", part).drop("_key", "_files")
+    spread.repartition(key, "_part").drop("_part").write.mode("overwrite").partitionBy(key).parquet(path)
     written = df.sparkSession.read.parquet(path).count()
     if written != expected:
         raise RuntimeError(f"{written} rows were written of {expected}")

@@ -93,6 +93,19 @@ def test_relabel_and_verify(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "e")).count() == 2
 
 
+def test_files_by_animal(spark, tmp_path, monkeypatch):
+    """Small animals have one file each; a large one, or rows without an animal, have as many as they fill."""
+    monkeypatch.setattr(K, "ROWS_A_FILE", 20)
+    rows = [(k % 10, k) for k in range(100)] + [(10, k) for k in range(100)] + [(None, k) for k in range(30)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert K.write_by_animal(spark.createDataFrame(rows, "deer_id BIGINT, x BIGINT"), str(tmp_path / "w")) == 230
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = {d.name: len(list(d.glob("*.parquet"))) for d in (tmp_path / "w").iterdir() if d.is_dir()}
+    assert len(files) == 12 and all(files[f"deer_id={k}"] == 1 for k in range(10)) and files["deer_id=10"] > 1
+
+
 def test_json_and_header(spark):
     shares = spark.createDataFrame([(0, 60.0), (1, 40.0)], "label INT, percent DOUBLE")
     times = spark.createDataFrame([(0, 1.0, 0.1), (1, 2.0, 0.2)], "label INT, mean_s DOUBLE, sem_s DOUBLE")
